@@ -22,7 +22,7 @@ tokens not seen.  Each text is scored with one begin mark and ends with one end
 Defined cases: null and empty texts are one end token; texts are read whole; repeated rows
 count as often as they stand there; with no training token all probabilities are uniform
 over one unknown token; an empty table gives no rows; other columns play no part.  Tokens are
-told apart by 64-bit hashes.
+told apart by WORD_BYTES bytes of their hashes.
 """
 
 from __future__ import annotations
@@ -37,11 +37,42 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, chunks, fresh_path, hash_spans, local_path, mix, shared_dir, spans, write_file
 
-BEGIN, END = np.uint64(0x1B3C5D7E9F012345), np.uint64(0x5432109FE7D5C3B1)
+BEGIN, END = np.uint64(0x1B3C5D7E9F010000), np.uint64(0x5432109FE7D50000)
 _ODD = np.uint64(0xA24BAED4963EE407)
 MAP_BYTES = 8 << 20
 #: Text bytes for each hash range.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
+#: Bytes of a word's hash that count; 6 tell some millions of words apart, corpora of more than 10**8 distinct words want 8.
+WORD_BYTES = 6
+_KEPT = np.uint64((2**64 - 1) ^ (2 ** (64 - 8 * WORD_BYTES) - 1))
+
+
+def pack(h: np.ndarray) -> bytes:
+    """The bytes that count of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :]).tobytes()
+
+
+def unpack(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, 8 - WORD_BYTES :] = raw.reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them all."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def saturate(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and (position, count) of those from 255 on."""
+    big = np.flatnonzero(c >= 255)
+    return np.minimum(c, 255).astype(np.uint8), np.stack([big, c[big].astype(np.int64)])
+
+
+def restore(c: np.ndarray, big: np.ndarray) -> np.ndarray:
+    out = c.astype(np.int64)
+    out[big[0]] = big[1]
+    return out
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +86,7 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = np.ones(len(out), bool)
     word[ends] = False
     out[word] = hash_spans(buf, start, end)
-    return out, at
+    return out & _KEPT, at
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -93,12 +124,29 @@ def _dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield b, slice(int(edge[b]), int(edge[b + 1]))
 
 
-PAIRS = "bucket int, v binary, w binary, c binary"
-STATS = "bucket int, h binary, s binary"
+PAIRS = "bucket int, v binary, r binary, w binary, c binary, big binary"
+STATS = "bucket int, h binary, s array<binary>"
 #: Per word: count as a token, words before it, sum and numbers of 1, 2, 3 and more of what follows it.
 WIDTH = 6
 
 
+_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("v", "r", "w", "c", "big"))])
+
+
+def _packed(bucket: int, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict:
+    """Bigrams by their first word: the words once, run lengths, second words, counts."""
+    order = np.argsort(v, kind="stable")
+    v, w = v[order], w[order]
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    small, big = saturate(c[order])
+    return {"bucket": bucket, "v": pack(v[at]), "r": np.diff(np.append(at, len(v))).astype("<u4").tobytes(), "w": pack(w), "c": small.tobytes(), "big": big.astype("<i8").tobytes()}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = {k: np.frombuffer(row[k], np.uint8) for k in ("v", "r", "w", "c", "big")}
+    return np.repeat(unpack(raw["v"]), raw["r"].view("<u4")), unpack(raw["w"]), restore(raw["c"], raw["big"].view("<i8").reshape(2, -1))
+
+
 def _count(n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,33 +154,29 @@ def _count(n_ranges: int):
                 tok, at = tokens(buf, off)
                 ctx = before(tok, at)
                 keys, (c,), first = summed(pair_key(ctx, tok), np.ones(len(tok), np.uint32))
-                v, w, c = ctx[first], tok[first], c.astype(np.uint32)
-                rows = [(b, v[s].tobytes(), w[s].tobytes(), c[s].tobytes()) for b, s in _dealt(keys, n_ranges)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "v", "w", "c"), r, strict=True)) for r in rows], pa.schema([("bucket", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("c", pa.binary())]))
+                rows = [_packed(b, ctx[first[s]], tok[first[s]], c[s]) for b, s in _dealt(keys, n_ranges)]
+                yield pa.RecordBatch.from_pylist(rows, _PAIRS)
 
     return run
 
 
-def _join(col: pa.ChunkedArray, kind) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in col if x.is_valid]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def _merge_pairs(folder: str, n_ranges: int):
     def run(t: pa.Table) -> pa.Table:
         b = t.column("bucket")[0].as_py()
-        v, w, c = _join(t.column("v"), np.uint64), _join(t.column("w"), np.uint64), _join(t.column("c"), np.uint32)
-        keys, (c,), first = summed(pair_key(v, w), c.astype(np.int64))
+        v, w, c = map(np.concatenate, zip(*map(_unpacked, t.to_pylist()), strict=True))
+        keys, (c,), first = summed(pair_key(v, w), c)
         v, w = v[first], w[first]
         write_file(f"{folder}/pair-{b}.keys.npy", keys)
-        write_file(f"{folder}/pair-{b}.counts.npy", c.astype(np.uint32))
+        small, big = saturate(c)
+        write_file(f"{folder}/pair-{b}.counts.npy", small)
+        write_file(f"{folder}/pair-{b}.big.npy", big)
         of_v, (sv,), _ = summed(v, np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64))
         of_w, (sw,), _ = summed(w, np.stack([c, np.ones_like(c)], 1))
         h, (s,), _ = summed(np.concatenate([of_v, of_w]), np.concatenate([np.pad(sv, ((0, 0), (2, 0))), np.pad(sw, ((0, 0), (0, 4)))]))
         marks = np.array([np.sum(c == k) for k in (1, 2, 3, 4)], np.int64)
-        rows = [{"bucket": x, "h": h[p].tobytes(), "s": s[p].tobytes()} for x, p in _dealt(h, n_ranges)]
-        rows.append({"bucket": -1, "h": b"", "s": marks.tobytes()})
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("s", pa.binary())]))
+        rows = [{"bucket": x, "h": pack(h[p]), "s": [np.ascontiguousarray(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
+        rows.append({"bucket": -1, "h": b"", "s": [marks.tobytes()]})
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("s", pa.list_(pa.binary()))]))
 
     return run
 
@@ -140,12 +184,14 @@ def _merge_pairs(folder: str, n_ranges: int):
 def _merge_words(folder: str):
     def run(t: pa.Table) -> pa.Table:
         b = t.column("bucket")[0].as_py()
-        s = _join(t.column("s"), np.int64)
+        rows = t.to_pylist()
         if b < 0:
-            return pa.Table.from_pydict({"what": ["pairs"], "s": [s.reshape(-1, 4).sum(0).tolist()]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
-        h, (s,), _ = summed(_join(t.column("h"), np.uint64), s.reshape(-1, WIDTH))
+            marks = sum(np.frombuffer(r["s"][0], np.int64) for r in rows)
+            return pa.Table.from_pydict({"what": ["pairs"], "s": [marks.tolist()]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
+        h = np.concatenate([unpack(np.frombuffer(r["h"], np.uint8)) for r in rows])
+        h, (s,), _ = summed(h, np.concatenate([np.stack([np.frombuffer(x, np.int64) for x in r["s"]], 1) for r in rows]))
         write_file(f"{folder}/word-{b}.keys.npy", h)
-        write_file(f"{folder}/word-{b}.stats.npy", s)
+        write_file(f"{folder}/word-{b}.stats.npy", narrow(s))
         a = s[:, 1]
         row = [int(s[:, 0].sum()), int(np.sum(s[:, 0] > 0)), int(a.sum()), *[int(np.sum(a == k)) for k in (1, 2, 3, 4)]]
         return pa.Table.from_pydict({"what": ["words"], "s": [row]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
@@ -167,21 +213,32 @@ class Ranges:
     """Sorted keys with aligned values, as mapped files of hash ranges."""
 
     def __init__(self, folder: str, name: str, value: str, n: int):
-        self.at, self.n, self.open = (f"{folder}/{name}-", f".{value}.npy"), n, {}
+        self.folder, self.name, self.value, self.n = folder, name, value, n
+        self.open: dict[int, tuple | None] = {}
+
+    def _range(self, b: int) -> tuple | None:
+        if b not in self.open:
+            path = f"{self.folder}/{self.name}-{b}"
+            load = lambda x: np.load(f"{path}.{x}.npy", mmap_mode="r") if os.path.exists(f"{path}.{x}.npy") else None
+            keys = load("keys")
+            self.open[b] = None if keys is None else (keys, load(self.value), load("big"))
+        return self.open[b]
 
     def get(self, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Fill out with the values of the sorted keys; others keep theirs."""
         for b, s in _dealt(keys, self.n):
-            if b not in self.open:
-                path = f"{self.at[0]}{b}"
-                self.open[b] = (np.load(f"{path}.keys.npy", mmap_mode="r"), np.load(f"{path}{self.at[1]}", mmap_mode="r")) if os.path.exists(f"{path}.keys.npy") else None
-            if self.open[b] is not None:
-                own, values = self.open[b]
-                q = keys[s]
-                p = np.searchsorted(own, q)
-                p[p == len(own)] = 0
-                hit = own[p] == q
-                out[s][hit] = values[p[hit]]
+            if (own := self._range(b)) is None:
+                continue
+            q = keys[s]
+            p = np.searchsorted(own[0], q)
+            p[p == len(own[0])] = 0
+            hit = np.flatnonzero(own[0][p] == q)
+            p = p[hit]
+            value = own[1][p].astype(out.dtype)
+            if own[2] is not None and own[2].size:
+                at = np.minimum(np.searchsorted(own[2][0], p), own[2].shape[1] - 1)
+                value = np.where(own[2][0][at] == p, own[2][1][at], value)
+            out[s.start + hit] = value
         return out
 
 
@@ -217,7 +274,7 @@ class Model:
         of_v[1:] = of_w[:-1]
         of_v[at[:-1]] = back[-1]
         keys, inv = np.unique(pair_key(ctx, tok), return_inverse=True)
-        c = pairs.get(keys, np.zeros(len(keys), np.uint32))[inv].astype(np.float64)
+        c = pairs.get(keys, np.zeros(len(keys), np.int64))[inv].astype(np.float64)
 
         def less(x, d):
             return np.maximum(x - np.where(x >= 3, d[2], np.where(x >= 2, d[1], np.where(x >= 1, d[0], 0.0))), 0.0)
