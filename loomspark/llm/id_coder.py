@@ -4,9 +4,9 @@ Each block is coded on its own: models start anew, and a CRC-32 of the ids guard
 token the models predict
 - order 2: the id that last followed the hash of the two ids before,
 - order 1: the id that last followed the id before,
-- order 0: how large ids are (three size classes).
-"Is it the order-2 id?", then "is it the order-1 id?", then two questions for the class are
-coded as binary decisions; then an id that no order predicted follows in the class's plain bits.
+- order 0: whether ids are small or large.
+"Is it the order-2 id?", then "is it the order-1 id?", then "is it small?" are coded as binary
+decisions; then an id that no order predicted follows in the plain bits of its size.
 The probability of a decision mixes two adaptive estimates (by the prediction's confidence, and
 by the outcomes before) in the logistic domain with weights that learn.  All arithmetic is on
 integers and tables, so any machine decodes what another one coded.
@@ -36,9 +36,8 @@ _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-_x))), 1, 4095).astype(np.int32)
 _STRETCH = np.clip(np.searchsorted(_SQUASH, np.arange(4096)), 0, 4095).astype(np.int32) - 2048
 
 
-def _class_bits(most: int) -> np.ndarray:
-    """Plain bits of the classes: ids below 2**9, below 2**12, others (``most`` bits)."""
-    return np.array([9, 12, most], np.int64)
+#: Plain bits of a small id.
+SMALL_BITS = 10
 
 
 class _Decision:
@@ -59,18 +58,35 @@ class _Decision:
         self.pa, self.pb = self.a[self.ia], self.b[self.ib]
         self.sa, self.sb = _STRETCH[self.pa >> 4], _STRETCH[self.pb >> 4]
         dot = (self.sa * (self.wa >> 4) + self.sb * (self.wb >> 4)) >> 12
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        np.minimum(dot, 2047, out=dot)
+        np.maximum(dot, -2047, out=dot)
+        dot += 2048
+        self.p = _SQUASH[dot]
         return self.p
 
     def update(self, bit: np.ndarray, active: np.ndarray) -> None:
         """Learn from the outcome in the active lanes."""
-        on = active.astype(np.int32)
-        goal = bit.astype(np.int32) * 65535
-        self.a[self.ia] = self.pa + ((goal - self.pa) >> 4) * on
-        self.b[self.ib] = self.pb + ((goal - self.pb) >> 5) * on
-        err = ((bit.astype(np.int32) << 12) - self.p) * on
-        self.wa = np.clip(self.wa + ((self.sa * err) >> 10), -(1 << 18), 1 << 18)
-        self.wb = np.clip(self.wb + ((self.sb * err) >> 10), -(1 << 18), 1 << 18)
+        on, one = active.astype(np.int32), bit.astype(np.int32)
+        goal = one * 65535
+        step = goal - self.pa
+        step >>= 4
+        step *= on
+        step += self.pa
+        self.a[self.ia] = step
+        goal -= self.pb
+        goal >>= 5
+        goal *= on
+        goal += self.pb
+        self.b[self.ib] = goal
+        err = one << 12
+        err -= self.p
+        err *= on
+        for w, s in ((self.wa, self.sa), (self.wb, self.sb)):
+            s *= err
+            s >>= 10
+            w += s
+            np.minimum(w, 1 << 18, out=w)
+            np.maximum(w, -(1 << 18), out=w)
         self.history = np.where(active, (self.history * 2 + bit) & 15, self.history)
 
 
@@ -82,8 +98,10 @@ class _Model:
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
         self.hit2, self.hit1 = _Decision(lanes, 8), _Decision(lanes, 8)
-        self.low, self.mid = _Decision(lanes, 4), _Decision(lanes, 4)
-        self.was = np.zeros(lanes, np.int64)
+        self.size = _Decision(lanes, 2)
+
+    def was_small(self) -> np.ndarray:
+        return (self.p1 < 1 << SMALL_BITS).astype(np.int64)
 
     def guess(self) -> None:
         """Set the predictions of order 2 and 1: id and confidence."""
@@ -93,21 +111,16 @@ class _Model:
         self.e2, self.e1 = self.t2[self.i2], self.t1[self.i1]
         self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
 
-    def learn(self, x: np.ndarray, cls: np.ndarray, coded: np.ndarray) -> None:
+    def learn(self, x: np.ndarray) -> None:
         """Take in the ids; an id stays predicted while right, and gives way when wrong."""
         for t, i, e, g in ((self.t2, self.i2, self.e2, self.g2), (self.t1, self.i1, self.e1, self.g1)):
             conf = e & 7
             right = g == x
             keep = right | (conf > 3)
             t[i] = np.where(keep, g << 3, x << 3) + np.where(right, np.minimum(conf + 1, 7), np.where(conf > 3, conf >> 1, 1))
-        self.was = np.where(coded, cls, self.was)
         self.p2, self.p1 = self.p1, x
 
 
-def _class_of(x: np.ndarray) -> np.ndarray:
-    return (x >= 512).astype(np.int64) + (x >= 4096)
-
-
 class _Out:
     """Coder state of all lanes and their 16-bit output."""
 
@@ -177,7 +190,7 @@ def _plain(values: np.ndarray, size: np.ndarray) -> bytes:
     return np.packbits(bits[np.arange(31, -1, -1) < size[:, None]]).tobytes()
 
 
-#: Number of ids, CRC-32 of the ids as little-endian 32-bit integers, bits of the last class, decisions, plain bits.
+#: Number of ids, CRC-32 of the ids as little-endian 32-bit integers, bits of a large id, decisions, plain bits.
 Block = tuple[int, int, int, bytes, bytes]
 
 
@@ -213,23 +226,18 @@ def _encode_group(ids: np.ndarray, block: int) -> list[Block]:
         coder.put(hit1, p, rest)
         model.hit1.update(hit1, rest)
         rest = rest & ~hit1
-        cls = _class_of(x)
-        p = model.low.predict(model.was)
-        coder.put(cls == 0, p, rest)
-        model.low.update(cls == 0, rest)
-        more = rest & (cls > 0)
-        p = model.mid.predict(model.was)
-        coder.put(cls == 1, p, more)
-        model.mid.update(cls == 1, more)
-        model.learn(x, cls, rest)
+        small = x < 1 << SMALL_BITS
+        p = model.size.predict(model.was_small())
+        coder.put(small, p, rest)
+        model.size.update(small, rest)
+        model.learn(x)
         escaped[s] = rest
     streams = coder.finish()
     out, most = [], 16 if int(ids.max()) < 1 << 16 else 32
-    bits = _class_bits(most)
     for i in range(lanes):
         own = ids[i * block : i * block + size[i]]
         values = grid[i, : size[i]][escaped[: size[i], i]]
-        out.append((int(size[i]), zlib.crc32(own), most, streams[i], _plain(values, bits[_class_of(values)])))
+        out.append((int(size[i]), zlib.crc32(own), most, streams[i], _plain(values, np.where(values < 1 << SMALL_BITS, SMALL_BITS, most))))
     return out
 
 
@@ -260,18 +268,13 @@ def _decode_group(blocks: list[Block]) -> np.ndarray:
         hit1 = coder.get(p, rest)
         model.hit1.update(hit1, rest)
         rest = rest & ~hit1
-        p = model.low.predict(model.was)
-        low = coder.get(p, rest)
-        model.low.update(low, rest)
-        more = rest & ~low
-        p = model.mid.predict(model.was)
-        mid = coder.get(p, more)
-        model.mid.update(mid, more)
-        cls = np.where(low, 0, np.where(mid, 1, 2))
+        p = model.size.predict(model.was_small())
+        small = coder.get(p, rest)
+        model.size.update(small, rest)
         x = np.where(hit2, model.g2, model.g1).astype(np.int64)
         k = np.flatnonzero(rest)
         if len(k):
-            bits, where = np.where(cls[k] == 2, most[k], 9 + 3 * cls[k]), at[k]
+            bits, where = np.where(small[k], SMALL_BITS, most[k]), at[k]
             byte = where >> 3
             word = np.zeros(len(k), np.int64)
             for j in range(5):
@@ -279,7 +282,7 @@ def _decode_group(blocks: list[Block]) -> np.ndarray:
             x[k] = (word >> (40 - (where & 7) - bits)) & ((1 << bits) - 1)
             at[k] += bits
         x[~live] = 0
-        model.learn(x, cls, rest)
+        model.learn(x)
         grid[s] = x
     out = []
     for i, (n, crc, *_) in enumerate(blocks):
