@@ -13,16 +13,19 @@ runs follows from the target recall and the depth of the recursion.
 
 Dense groups.  A group of thousands of near copies never splits below BUCKET, and its pairs must
 not all be listed.  Buckets name a hub (the member with the smallest hash, so overlapping
-buckets agree on it).  Each member meets the hub; who the signatures put clearly with the hub
-need not meet the others, everyone else meets all in small buckets and recurses in large ones.
-What is left in large buckets at the last depth meets one new hub after another until nothing is
-left.  So no bucket is cut off.
+buckets agree on it).  Each member meets the hub; who the signatures put with the hub (SURE) need
+not meet the others, everyone else meets all in small buckets and recurses in large ones.  Where
+the exact count then refuses such a link to a hub, that member meets all of its small buckets
+after all.  What is left in large buckets at the last depth meets one new hub after another until
+nothing is left.  So no bucket is cut off.
 
 Buckets are counted by partial aggregation first, single ones leave at once, and large ones are
-never gathered: they only get their hub by a join.
+never gathered: they only get their hub by a join.  Members are (bucket, node) numbers; tokens are
+joined to those that are left.
 
 Defined cases: null and empty texts (no words) are linked with nothing; repeated rows are
-copies of one another; ties go to the smaller id; rows without an id are left out; an empty
+copies of one another; ties go to the smaller id; rows without an id are left out; ids
+lie within 62 bits; an empty
 table gives no rows; other columns play no part.
 """
 
@@ -43,7 +46,7 @@ K = 5
 SMALL, LARGE = 320, 512  # sets up to LARGE get full min-hashes, from SMALL on one-permutation ones: both in between
 BUCKET = 48
 DEPTH = 5
-LOOSE, SURE = 0.18, 0.04  # by how much a signature may fall short of the threshold; from 1 - SURE on a link to the hub stands for the rest
+LOOSE, SURE = 0.18, 0.05  # by how much a signature may fall short of the threshold, and be above it for a link to the hub to stand for the others
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = mix(np.arange(1, T + 1, dtype=np.uint64))
@@ -109,8 +112,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, SKETCH)
 
 
-MEMBERS = "key long, node long, tokens binary"
-_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("tokens", pa.binary())])
+MEMBERS = "key long, ref long"
+_KEYS = pa.schema([("key", pa.int64()), ("ref", pa.int64())])
+#: ref is twice the node, plus 1 for its one-permutation tokens.
+TOKENS = "ref long, tokens binary"
+
+
+def _sig(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, T)
 
 
 def _children(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,107 +134,107 @@ def _start(runs: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, name in ((1, "small"), (2, "large")):
-                col = batch.column(batch.schema.get_field_index(name))
-                at = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
-                if not len(at):
-                    continue
-                part = col.take(pa.array(at))
-                sig = np.frombuffer(b"".join(part.to_pylist()), np.uint32).reshape(-1, T)
-                node = batch.column(0).take(pa.array(at))
-                for r in roots:
-                    row, key = _children(np.full(len(at), r + np.uint64(kind)), sig, threshold)
-                    if len(row):
-                        pick = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node.take(pick), part.take(pick)], schema=_KEYS)
+            if not batch.num_rows:
+                continue
+            ref, sig = np.array(batch.column(0)), _sig(batch.column(1))
+            for r in roots:
+                row, key = _children(r + (ref & 1).astype(np.uint64), sig, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ref[row])], schema=_KEYS)
 
     return run
 
 
 def _next(threshold: float):
+    """Children of the members of large buckets: key, ref, tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T)
-            row, key = _children(np.array(batch.column(0)).view(np.uint64), sig, threshold)
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(pick), batch.column(2).take(pick)], schema=_KEYS)
+            ref = np.array(batch.column(1))
+            row, key = _children(np.array(batch.column(0)).view(np.uint64), _sig(batch.column(2)), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ref[row])], schema=_KEYS)
 
     return run
 
 
-PAIRS = "a long, b long"
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = "a long, b long, sure boolean"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+    """Node pairs of ref pairs; where sure is true, a is the member and b its hub."""
+    a, b = a >> 1, b >> 1
+    flip = ~sure & (a > b)
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], schema=_PAIR)
 
 
-def _hub_order(node: np.ndarray) -> np.ndarray:
-    return mix(node.view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
+def _hub_order(ref: np.ndarray) -> np.ndarray:
+    return mix((ref >> 1).view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
 
 
 def _compare(threshold: float):
     """Candidates of small buckets; rows come sorted by key, and a bucket may cross batches."""
-    low = (threshold - LOOSE) * T
+    low, high = (threshold - LOOSE) * T, (threshold + SURE) * T
 
-    def pairs(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(_hub_order(node))
-        node, sig = node[order], sig[order]
+    def pairs(ref: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(_hub_order(ref))
+        ref, sig = ref[order], sig[order]
         to_hub = (sig[1:] == sig[0]).sum(1)
-        sure = np.append(True, to_hub >= (1 - SURE) * T)
-        a, b = [np.zeros(np.sum(to_hub >= low), np.int64)], [np.flatnonzero(to_hub >= low) + 1]
+        sure = np.append(True, to_hub >= high)
+        at = np.flatnonzero(to_hub >= low) + 1
+        a, b, s = [at], [np.zeros(len(at), np.int64)], [sure[at]]
         for i in np.flatnonzero(~sure):  # meets everyone after the hub, once
-            others = np.arange(1, len(node))
-            others = others[(others > i) | sure[1:]]
+            others = np.arange(1, len(ref))
+            others = others[((others > i) | sure[1:]) & (others != i)]
             others = others[(sig[others] == sig[i]).sum(1) >= low]
-            others = others[others != i]
             a.append(np.full(len(others), i))
             b.append(others)
-        return node[np.concatenate(a)], node[np.concatenate(b)]
+            s.append(np.zeros(len(others), bool))
+        return ref[np.concatenate(a)], ref[np.concatenate(b)], np.concatenate(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def done(key, node, sig):
+        def done(key, ref, sig):
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            found = [pairs(node[x:y], sig[x:y]) for x, y in zip(at, np.append(at[1:], len(key)), strict=True) if y - x > 1]
+            found = [pairs(ref[x:y], sig[x:y]) for x, y in zip(at, np.append(at[1:], len(key)), strict=True) if y - x > 1]
             if found:
-                a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-                p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_PAIR)
+                yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node = np.array(batch.column(0)), np.array(batch.column(1))
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T)
+            rows = np.array(batch.column(0)), np.array(batch.column(1)), _sig(batch.column(2))
             if kept:
-                key, node, sig = (np.concatenate([k, x]) for k, x in zip(kept.pop(), (key, node, sig), strict=True))
-            last = int(np.searchsorted(key, key[-1]))
-            kept.append((key[last:], node[last:], sig[last:]))
+                rows = tuple(np.concatenate([k, x]) for k, x in zip(kept.pop(), rows, strict=True))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            kept.append(tuple(x[last:] for x in rows))
             if last:
-                yield from done(key[:last], node[:last], sig[:last])
+                yield from done(*(x[:last] for x in rows))
         if kept:
             yield from done(*kept.pop())
 
     return run
 
 
-def _with_hub(threshold: float, rest: bool):
-    """Of members and their bucket's hub: the candidates, or (rest) members that the hub does not stand for."""
+def _meet(threshold: float, what: str):
+    """Of rows key, ref, hub, tokens, hub_tokens: the candidates (what "sure": who is sure of its hub says so), or the members that the hub does not stand for ("rest")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, hub = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, T) for i in (2, 4))
-            same, node, at = (sig == hub).sum(1), np.array(batch.column(1)), np.array(batch.column(3))
-            if rest:
-                pick = pa.array((same < (1 - SURE) * T) & (node != at))
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pick) for i in range(3)], schema=_KEYS)
+            key, ref, hub = (np.array(batch.column(i)) for i in range(3))
+            same = (_sig(batch.column(3)) == _sig(batch.column(4))).sum(1)
+            other = ref >> 1 != hub >> 1
+            if what == "rest":
+                pick = other & (same < threshold * T)
+                yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(ref[pick])], schema=_KEYS)
             else:
-                ok = (same >= (threshold - LOOSE) * T) & (node != at)
-                a, b = node[ok], at[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
+                pick = other & (same >= (threshold - LOOSE) * T)
+                yield _pairs(ref[pick], hub[pick], np.zeros(int(pick.sum()), bool))
 
     return run
 
@@ -234,31 +243,48 @@ def _wide(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def candidates(nodes: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> DataFrame:
-    """Distinct pairs (a < b) of nodes to confirm.  nodes: node, small, large."""
-    members = cut(nodes.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(pairs to confirm, members of the small buckets).  tokens: see TOKENS."""
+    members = cut(tokens.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
     found: list[DataFrame] = []
-    level, rest = 1, False
+    small: list[DataFrame] = []
+    level = 1
     while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node")).alias("hub")).where("size > 1")
-        sized = cut(members.join(sizes, "key").select("key", "node", "tokens", "size", "hub"), "buckets")
-        few = sized.where(F.col("size") <= BUCKET).select("key", "node", "tokens")
-        found.append(cut(few.repartition(_wide(nodes), "key").sortWithinPartitions("key").mapInArrow(_compare(threshold), PAIRS).distinct(), "near"))
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64(F.shiftright("ref", 1))).alias("hub")).where("size > 1")
+        sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
+        few = sized.where(F.col("size") <= BUCKET).select("key", "ref")
+        small.append(few)
+        found.append(cut(few.join(tokens, "ref").select("key", "ref", "tokens").repartition(_wide(tokens), "key").sortWithinPartitions("key").mapInArrow(_compare(threshold), PAIRS).distinct(), "near"))
         many = sized.where(F.col("size") > BUCKET)
         if many.isEmpty():
-            break
-        hubs = many.where("node = hub").select(F.col("key").alias("k"), F.col("tokens").alias("hub_tokens")).dropDuplicates(["k"])
-        met = cut(many.join(hubs, F.col("key") == F.col("k")).select("key", "node", "tokens", "hub", "hub_tokens"), "hubs")
-        found.append(met.mapInArrow(_with_hub(threshold, False), PAIRS).distinct())
+            return cut(_union(found).distinct(), "pairs"), _union(small)
+        hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
+        met = many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens")
+        found.append(cut(met.mapInArrow(_meet(threshold, "sure"), PAIRS).distinct(), "hubs"))
         if level < depth:
-            members = cut(many.select("key", "node", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
+            members = cut(many.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
         else:
-            members = cut(met.mapInArrow(_with_hub(threshold, True), MEMBERS), "members")
+            members = cut(met.mapInArrow(_meet(threshold, "rest"), MEMBERS), "members")
         level += 1
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return cut(out.distinct(), "pairs")
+
+
+def refused(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """Candidates of members that were held to be with their hub and are not: all of their small buckets."""
+    wrong = pairs.where("sure").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a").join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    wrong = wrong.select(F.col("a").alias("node")).distinct()
+    of_wrong = small.withColumn("node", F.shiftright("ref", 1)).join(wrong, "node", "left_semi").select("key", F.col("ref").alias("hub"))
+    both = small.join(of_wrong, "key").where("ref <> hub").select("ref", "hub").distinct()
+    hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    met = both.join(tokens, "ref").join(hub, "hub").select(F.lit(0).cast("long").alias("key"), "ref", "hub", "tokens", "hub_tokens")
+    more = met.mapInArrow(_meet(threshold, "sure"), PAIRS).select("a", "b").distinct()
+    return more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def _confirm(threshold: float):
@@ -320,13 +346,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links: a, b, jaccard between nodes.
     """
     rows = cut(sketch(docs, id_col, text_col), "sketch")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("small", True).alias("small"), F.first("large", True).alias("large"))
-    nodes = cut(nodes, "nodes")
-    pairs = candidates(nodes.select("node", "small", "large"), threshold, recall)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = cut(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    links = cut(confirm(pairs, texts, threshold), "links")
+    nodes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("small", True).alias("small"), F.first("large", True).alias("large")), "nodes")
+    tokens = cut(_union([nodes.where(f"{c} is not null").select((F.col("node") * 2 + k).alias("ref"), F.col(c).alias("tokens")) for k, c in enumerate(("small", "large"))]), "tokens")
+    pairs, small = candidates(tokens, threshold, recall)
+    every = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        ends = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        return cut(confirm(some, every.join(ends, "node", "left_semi").dropDuplicates(["node"]), threshold), "links")
+
+    links = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = cut(refused(pairs, links, small, tokens, threshold), "refused")
+    if not more.isEmpty():
+        links = cut(links.unionByName(confirmed(more)), "links")
     comp = components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_node = nodes.select("digest", "node", "copies").join(comp, "node", "left").join(degree, "node", "left")

@@ -39,7 +39,8 @@ from .common import SPACE_WORDS, chunks, fresh_path, hash_spans, local_path, mix
 
 BEGIN, END = np.uint64(0x1B3C5D7E9F010000), np.uint64(0x5432109FE7D50000)
 _ODD = np.uint64(0xA24BAED4963EE407)
-MAP_BYTES = 8 << 20
+MAP_BYTES = 6 << 20
+SCORE_BYTES = 3 << 20
 #: Text bytes for each hash range.
 RANGE_BYTES = 16 << 20
 #: Bytes of a word's hash that count; 6 tell some millions of words apart, corpora of more than 10**8 distinct words want 8.
@@ -315,7 +316,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in chunks(batch.column(1), MAP_BYTES):
+            for i, j, buf, off in chunks(batch.column(1), SCORE_BYTES):
                 tok, at = tokens(buf, off)
                 known, base, own = model.score(tok, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(own)], [x.split()[0] for x in SCORES.split(", ")])
