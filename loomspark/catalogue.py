@@ -2,14 +2,202 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .plans.compile import compile_sql, graph_dataframe
+from .plans.model import BucketingPolicy, Exchange, Sink, Source, Stage, StageGraph, StageInput
+from .sources.connectors import latest
+
+
+def source(sf_dir: str, table: str) -> Source:
+    return Source(table, table, "parquet", {"uris": [f"{sf_dir}/{table}.parquet"]})
+
+
+def _run(sql: str, tables: str, mode: str, rounded: tuple[str, ...], spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    df = compile_sql(spark, sql, [source(sf_dir, t) for t in tables.split()], mode=mode, **how).dataframe()
+    return df.withColumns({c: F.round(c, 2) for c in rounded}) if rounded else df
+
+
+#: Strict statements: name -> (tables, SQL, sums to round).  The oracle is the same text with rounded sums.
+STRICT = {
+    "scan_all": ("nation", "SELECT * FROM nation", ()),
+    "project_alias": ("customer", "SELECT c_name AS name, c_custkey AS id, c_acctbal AS balance FROM customer", ()),
+    "filter_gt": ("lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25", ()),
+    "filter_compound": ("orders", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE (o_totalprice BETWEEN 1000 AND 200000 AND o_orderstatus IN ('O', 'F')) OR o_orderpriority LIKE '1%'", ()),
+    "filter_date_range": ("orders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-01-01'", ()),
+    "project_expr": ("lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class, upper(l_returnflag) AS flag, CAST(year(l_shipdate) AS INT) AS y FROM lineitem", ()),
+    "filter_none": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice < 0", ()),
+    "group_sum": ("orders", "SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey", ("total",)),
+    "group_count_star": ("orders", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey", ()),
+    "group_count_col": ("orders", "SELECT o_orderstatus, COUNT(o_orderdate) AS n FROM orders GROUP BY o_orderstatus", ()),
+    "group_min": ("lineitem", "SELECT l_suppkey, MIN(l_extendedprice) AS least FROM lineitem GROUP BY l_suppkey", ()),
+    "group_max": ("lineitem", "SELECT l_suppkey, MAX(l_shipdate) AS latest FROM lineitem GROUP BY l_suppkey", ()),
+    "group_multi_key": ("lineitem", "SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS qty, COUNT(*) AS n, MIN(l_discount) AS lo, MAX(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus", ("qty",)),
+    "group_projection_order": ("orders", "SELECT COUNT(*) AS n, o_orderstatus, SUM(o_totalprice) AS total FROM orders GROUP BY o_orderstatus", ("total",)),
+    "group_key_alias": ("orders", "SELECT o_custkey AS customer, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey", ()),
+    "group_repeated_agg": ("orders", "SELECT o_custkey, COUNT(*) AS a, COUNT(*) AS b FROM orders GROUP BY o_custkey", ()),
+    "group_where": ("lineitem", "SELECT l_suppkey, SUM(l_quantity) AS qty FROM lineitem WHERE l_quantity > 25 GROUP BY l_suppkey", ("qty",)),
+    "group_no_agg": ("lineitem", "SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus", ()),
+    "group_string_minmax": ("part", "SELECT p_brand, MIN(p_name) AS first_name, MAX(p_type) AS last_type FROM part GROUP BY p_brand", ()),
+    "group_events": ("events", "SELECT event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY event_type", ("total",)),
+    "group_quoted_identifier": ("orders", 'SELECT o_orderstatus AS "order status", COUNT(*) AS "Größe" FROM orders GROUP BY o_orderstatus', ()),
+    "join_inner": ("orders customer", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey", ()),
+    "join_aliases": ("orders customer", "SELECT o.o_orderkey, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", ()),
+    "join_residual_on": ("orders customer", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000 AND o_totalprice > c_acctbal", ()),
+    "join_dim": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", ()),
+}
+
+#: Statements of the extended mode: name -> (tables, SQL[, the oracle's own text]).
+EXTENDED = {
+    "group_null_key": ("orders", "SELECT NULLIF(o_orderstatus, 'O') AS k, COUNT(*) AS n, COUNT(NULLIF(o_orderpriority, '1-URGENT')) AS m FROM orders GROUP BY NULLIF(o_orderstatus, 'O')"),
+    "join_using": ("nation supplier", "SELECT s_name, n_name FROM (SELECT s_name, s_nationkey AS nk FROM supplier) JOIN (SELECT n_name, n_nationkey AS nk FROM nation) USING (nk)"),
+    "avg": ("lineitem", "SELECT l_returnflag, ROUND(AVG(l_quantity), 4) AS mean FROM lineitem GROUP BY l_returnflag"),
+    "count_distinct": ("orders", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus"),
+    "global_agg": ("orders", "SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total, MIN(o_orderdate) AS first_day FROM orders"),
+    "agg_expr": ("lineitem", "SELECT l_returnflag, ROUND(SUM(l_quantity * 2), 2) AS twice FROM lineitem GROUP BY l_returnflag"),
+    "agg_over": ("orders", "SELECT upper(o_orderstatus) AS s, COUNT(*) + 1 AS n1 FROM orders GROUP BY o_orderstatus"),
+    "agg_filter": ("orders", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000) AS n FROM orders GROUP BY o_orderstatus"),
+    "count_case": ("lineitem", "SELECT l_returnflag, COUNT(CASE WHEN l_quantity > 25 THEN 1 END) AS n FROM lineitem GROUP BY l_returnflag"),
+    "stddev": ("lineitem", "SELECT l_returnflag, ROUND(stddev_samp(l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag"),
+    "group_expr": ("orders", "SELECT CAST(year(o_orderdate) AS INT) AS y, COUNT(*) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS INT)"),
+    "having": ("orders", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 10"),
+    "rollup": ("lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+    "cube": ("lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
+    "grouping_sets": ("lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())"),
+    "left_join": ("customer orders", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey"),
+    "right_join": ("orders customer", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey"),
+    "full_join": ("customer supplier", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey + 50"),
+    "semi_join": ("customer orders", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 200000)"),
+    "anti_join": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 200000)"),
+    "cross_join": ("nation region", "SELECT n_name, r_name FROM nation CROSS JOIN region"),
+    "theta_join": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey"),
+    "self_join": ("nation", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "multi_key_join": ("lineitem", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey"),
+    "join_where_group": ("orders customer", "SELECT c_mktsegment, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 GROUP BY c_mktsegment"),
+    "comma_join": ("nation region", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
+    "three_table_join": ("customer nation region", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "cast_key_join": ("lineitem part", "SELECT l_orderkey, p_name FROM lineitem JOIN part ON l_linenumber = p_partkey"),
+    "scalar_subquery": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)"),
+    "in_subquery": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
+    "exists_subquery": ("customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
+    "select_subquery": ("nation region", "SELECT n_name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r FROM nation"),
+    "cte": ("orders", "WITH t AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT n, COUNT(*) AS customers FROM t GROUP BY n"),
+    "derived_table": ("orders", "SELECT o_custkey, n FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 5"),
+    "values_table": ("nation", "SELECT n_name, v.x FROM nation JOIN (VALUES (0, 'a'), (1, 'b')) AS v(k, x) ON n_regionkey = v.k"),
+    "distinct": ("customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer"),
+    "order_limit": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
+    "limit_offset": ("customer", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 5"),
+    "union_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
+    "union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
+    "intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
+    "except": ("nation customer", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 10"),
+    "window_rank": ("orders", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS BIGINT) AS d FROM orders"),
+    "window_running_sum": ("orders", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders"),
+    "window_lag": ("orders", "SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders"),
+    "json_field": ("events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events"),
+    "string_functions": ("customer", "SELECT c_custkey, lower(c_name) AS a, substring(c_name, 1, 4) AS b, concat(c_mktsegment, '!') AS c, replace(c_name, '0', 'o') AS d, CAST(length(c_name) AS BIGINT) AS e, trim(c_name) AS f FROM customer"),
+    "date_functions": ("orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, CAST(month(o_orderdate) AS INT) AS mo FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(month(o_orderdate) AS INT) AS mo FROM orders"),
+    "math_functions": ("lineitem", "SELECT l_orderkey, l_linenumber, abs(l_discount - 1) AS a, CAST(floor(l_quantity / 3) AS BIGINT) AS f, CAST(ceil(l_tax) AS BIGINT) AS c, ROUND(sqrt(l_quantity), 6) AS s FROM lineitem"),
+    "conditional_functions": ("orders", "SELECT o_orderkey, coalesce(NULLIF(o_orderstatus, 'O'), 'open') AS s FROM orders"),
+}
+
+GROUP = STRICT["group_sum"]
+JOIN = STRICT["join_inner"]
+POLICIES = {"width_static": BucketingPolicy("static", 3), "width_rows": BucketingPolicy("rows", 8, target_rows=5000), "width_bytes": BucketingPolicy("bytes", 8, target_bytes=100_000), "width_partitions": BucketingPolicy("partitions", 8)}
+
+
+def _width(policy: BucketingPolicy, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(GROUP[1], GROUP[0], "strict", ("total",), spark, sf_dir, bucketing=policy)
+
+
+def _join(threshold: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(JOIN[1], JOIN[0], "strict", (), spark, sf_dir, broadcast_threshold=threshold)
+
+
+HASH_JOIN = "SELECT /*+ SHUFFLE_HASH(customer) */ o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def graph_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = (
+        Stage("partial", "SELECT o_custkey, SUM(o_totalprice) AS part, COUNT(*) AS n FROM orders GROUP BY o_custkey", (StageInput("orders", source_id="orders"),), Exchange("hash_shuffle", ("o_custkey",), 4)),
+        Stage("final", "SELECT o_custkey, ROUND(SUM(part), 2) AS total, SUM(n) AS n FROM shuffled GROUP BY o_custkey", (StageInput("shuffled", stage_id="partial"),)),
+    )
+    return graph_dataframe(spark, StageGraph((source(sf_dir, "orders"),), stages, "final"))
+
+
+def graph_join3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"customer": "c_nationkey", "supplier": "s_nationkey", "nation": "n_nationkey"}
+    scans = tuple(Stage(f"scan_{t}", f"SELECT * FROM {t}", (StageInput(t, source_id=t),), Exchange("hash_shuffle", (k,), 4)) for t, k in tables.items())
+    last = Stage("join", "SELECT n_name, c_custkey, s_suppkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey", tuple(StageInput(t, stage_id=f"scan_{t}") for t in tables))
+    return graph_dataframe(spark, StageGraph(tuple(source(sf_dir, t) for t in tables), (*scans, last), "join"))
+
+
+class _Numbers(DataSource):
+    """Numbers by ranges: a custom source."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "loom_numbers"
+
+    def schema(self) -> str:
+        return "id long, square long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _NumberReader(int(self.options["rows"]), int(self.options["parts"]))
+
+
+class _NumberReader(DataSourceReader):
+    def __init__(self, rows: int, parts: int):
+        self.rows, self.parts = rows, parts
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(self.parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for i in range(partition.value, self.rows, self.parts):
+            yield i, i * i
+
+
+def custom_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = Source("numbers", "numbers", "python", {"cls": _Numbers, "rows": "1000", "parts": "4"})
+    return compile_sql(spark, "SELECT id, square FROM numbers WHERE id > 10", [numbers]).dataframe()
+
+
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a run and reads it back through _LATEST, in a folder of the warehouse."""
+    base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loom-roundtrip"
+    compile_sql(spark, GROUP[1], [source(sf_dir, "orders")]).run(Sink("parquet", {"base_uri": base, "write_success_marker": True}), "roundtrip")
+    return latest(spark, base).withColumn("total", F.round("total", 2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {n: partial(_run, sql, tables, "strict", rounded) for n, (tables, sql, rounded) in STRICT.items()}
+    out |= {n: partial(_run, x[1], x[0], "extended", ()) for n, x in EXTENDED.items()}
+    out |= {n: partial(_width, p) for n, p in POLICIES.items()}
+    out |= {"join_broadcast": partial(_join, 10_000_000), "join_merge": partial(_join, 0), "join_shuffle_hash": partial(_run, HASH_JOIN, JOIN[0], "strict", ())}
+    return out | {f.__name__: f for f in (graph_group, graph_join3, custom_source_scan, sink_roundtrip)}
+
+
+def _oracle(sql: str, rounded: tuple[str, ...]) -> str:
+    sql = sql.replace("TIMESTAMP_NTZ '", "TIMESTAMP '")
+    for c in rounded:
+        head, tail = sql.split(f" AS {c}", 1)
+        start = head.rindex("SUM(")
+        sql = f"{head[:start]}ROUND({head[start:]}, 2) AS {c}{tail}"
+    return sql
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {n: _oracle(sql, rounded) for n, (_, sql, rounded) in STRICT.items()}
+    out |= {n: x[-1] for n, x in EXTENDED.items()}
+    out |= {n: out["group_sum"] for n in (*POLICIES, "sink_roundtrip")}
+    out |= {n: out["join_inner"] for n in ("join_broadcast", "join_merge", "join_shuffle_hash")}
+    out["graph_group"] = "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey"
+    out["graph_join3"] = "SELECT n_name, c_custkey, s_suppkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey"
+    out["custom_source_scan"] = "SELECT i AS id, i * i AS square FROM range(1000) t(i) WHERE i > 10"
+    return out
