@@ -14,10 +14,10 @@ runs follows from the target recall and the depth of the recursion.
 Dense groups.  A group of thousands of near copies never splits below BUCKET, and its pairs must
 not all be listed.  Buckets name a hub (the member with the smallest hash, so overlapping
 buckets agree on it).  Each member meets the hub; who the signatures put with the hub (SURE) need
-not meet the others, everyone else meets all in small buckets and recurses in large ones.  Where
-the exact count then refuses such a link to a hub, that member meets all of its small buckets
-after all.  What is left in large buckets at the last depth meets one new hub after another until
-nothing is left.  So no bucket is cut off.
+not meet the others, everyone else meets all in small buckets and recurses in large ones, however
+deep.  As every level takes the hub and those with it out of a large bucket, all buckets end, and
+none is cut off.  Where the exact count then refuses a link to a hub, that member meets all of its
+small buckets after all.
 
 Buckets are counted by partial aggregation first, single ones leave at once, and large ones are
 never gathered: they only get their hub by a join.  Members are (bucket, node) numbers; tokens are
@@ -230,11 +230,11 @@ def _meet(threshold: float, what: str):
             same = (_sig(batch.column(3)) == _sig(batch.column(4))).sum(1)
             other = ref >> 1 != hub >> 1
             if what == "rest":
-                pick = other & (same < threshold * T)
+                pick = other & (same < (threshold + SURE) * T)
                 yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(ref[pick])], schema=_KEYS)
             else:
                 pick = other & (same >= (threshold - LOOSE) * T)
-                yield _pairs(ref[pick], hub[pick], np.zeros(int(pick.sum()), bool))
+                yield _pairs(ref[pick], hub[pick], same[pick] >= (threshold + SURE) * T)
 
     return run
 
@@ -255,7 +255,6 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
     members = cut(tokens.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
     found: list[DataFrame] = []
     small: list[DataFrame] = []
-    level = 1
     while True:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64(F.shiftright("ref", 1))).alias("hub")).where("size > 1")
         sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
@@ -268,11 +267,8 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
         hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
         met = many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens")
         found.append(cut(met.mapInArrow(_meet(threshold, "sure"), PAIRS).distinct(), "hubs"))
-        if level < depth:
-            members = cut(many.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
-        else:
-            members = cut(met.mapInArrow(_meet(threshold, "rest"), MEMBERS), "members")
-        level += 1
+        rest = met.mapInArrow(_meet(threshold, "rest"), MEMBERS)
+        members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
 
 
 def refused(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
@@ -283,8 +279,8 @@ def refused(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFr
     both = small.join(of_wrong, "key").where("ref <> hub").select("ref", "hub").distinct()
     hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
     met = both.join(tokens, "ref").join(hub, "hub").select(F.lit(0).cast("long").alias("key"), "ref", "hub", "tokens", "hub_tokens")
-    more = met.mapInArrow(_meet(threshold, "sure"), PAIRS).select("a", "b").distinct()
-    return more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = met.mapInArrow(_meet(threshold, "sure"), PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
 
 
 def _confirm(threshold: float):
