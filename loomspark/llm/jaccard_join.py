@@ -12,8 +12,8 @@ signatures; candidates are then confirmed by exact Jaccard on their whole texts.
 runs follows from the target recall and the depth of the recursion.
 
 Dense groups.  A group of thousands of near copies never splits below BUCKET, and its pairs must
-not all be listed.  Buckets name a hub (the member with the smallest hash, so overlapping
-buckets agree on it).  Each member meets the hub; who the signatures put with the hub (SURE) need
+not all be listed.  Buckets name a hub (a member that a hash draws, another one in
+each bucket).  Each member meets the hub; who the signatures put with the hub (SURE) need
 not meet the others, everyone else meets all in small buckets and recurses in large ones, however
 deep.  As every level takes the hub and those with it out of a large bucket, all buckets end, and
 none is cut off.  Where the exact count then refuses a link to a hub, that member meets all of its
@@ -256,7 +256,7 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
     found: list[DataFrame] = []
     small: list[DataFrame] = []
     while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64(F.shiftright("ref", 1))).alias("hub")).where("size > 1")
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64("key", F.shiftright("ref", 1))).alias("hub")).where("size > 1")
         sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
         few = sized.where(F.col("size") <= BUCKET).select("key", "ref")
         small.append(few)
