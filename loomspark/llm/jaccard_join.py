@@ -264,6 +264,7 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
         many = sized.where(F.col("size") > BUCKET)
         if many.isEmpty():
             return cut(_union(found).distinct(), "pairs"), _union(small)
+        tokens = cut(tokens.join(many.select("ref").distinct(), "ref", "left_semi"), "tokens")  # deeper members come from these
         hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
         met = many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens")
         found.append(cut(met.mapInArrow(_meet(threshold, "sure"), PAIRS).distinct(), "hubs"))
