@@ -11,13 +11,14 @@ to stay together in one child.  Buckets of up to BUCKET nodes are compared at on
 signatures; candidates are then confirmed by exact Jaccard on their whole texts.  The number of
 runs follows from the target recall and the depth of the recursion.
 
-Dense groups.  A group of thousands of near copies never splits below BUCKET, and its pairs must
-not all be listed.  Buckets name a hub (a member that a hash draws, another one in
-each bucket).  Each member meets the hub; who the signatures put with the hub (SURE) need
-not meet the others, everyone else meets all in small buckets and recurses in large ones, however
-deep.  As every level takes the hub and those with it out of a large bucket, all buckets end, and
-none is cut off.  Where the exact count then refuses a link to a hub, that member meets all of its
-small buckets after all.
+Dense groups.  The pairs of a group of thousands of near copies must not all be listed.  A small
+bucket gives out a heaviest spanning forest of its candidates.  Where the exact count refuses a
+link of it, the second round gives out all candidates of that bucket whose ends confirmed links
+have not joined yet, so no class depends on which links the forest took.  Buckets above BUCKET
+name a hub (a member that a hash draws, another one in each bucket).  Each member meets the hub;
+who the signatures put well within the threshold (SURE) is left with it, everyone else
+moves on, however deep.  As every level takes the hub and those with it out, all buckets end, and
+none is cut off.
 
 Buckets are counted by partial aggregation first, single ones leave at once, and large ones are
 never gathered: they only get their hub by a join.  Members are (bucket, node) numbers; tokens are
@@ -44,9 +45,9 @@ from .common import SPACE_WORDS, chunks, cut, hash_spans, mix, shingles, spans
 T = 64
 K = 5
 SMALL, LARGE = 320, 512  # sets up to LARGE get full min-hashes, from SMALL on one-permutation ones: both in between
-BUCKET = 48
+BUCKET = 2048
 DEPTH = 5
-LOOSE, SURE = 0.18, 0.05  # by how much a signature may fall short of the threshold, and be above it for a link to the hub to stand for the others
+LOOSE, SURE = 0.15, 0.08  # by how much a signature may fall short of the threshold, and be above it for a link to the hub to stand for the others
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = mix(np.arange(1, T + 1, dtype=np.uint64))
@@ -158,69 +159,98 @@ def _next(threshold: float):
     return run
 
 
-PAIRS = "a long, b long, sure boolean"
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+PAIRS = "a long, b long"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
-    """Node pairs of ref pairs; where sure is true, a is the member and b its hub."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Node pairs of ref pairs, the smaller first."""
     a, b = a >> 1, b >> 1
-    flip = ~sure & (a > b)
-    a, b = np.where(flip, b, a), np.where(flip, a, b)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], schema=_PAIR)
-
-
-def _hub_order(ref: np.ndarray) -> np.ndarray:
-    return mix((ref >> 1).view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
-
-
-def _compare(threshold: float):
-    """Candidates of small buckets; rows come sorted by key, and a bucket may cross batches."""
-    low, high = (threshold - LOOSE) * T, (threshold + SURE) * T
-
-    def pairs(ref: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(_hub_order(ref))
-        ref, sig = ref[order], sig[order]
-        to_hub = (sig[1:] == sig[0]).sum(1)
-        sure = np.append(True, to_hub >= high)
-        at = np.flatnonzero(to_hub >= low) + 1
-        a, b, s = [at], [np.zeros(len(at), np.int64)], [sure[at]]
-        for i in np.flatnonzero(~sure):  # meets everyone after the hub, once
-            others = np.arange(1, len(ref))
-            others = others[((others > i) | sure[1:]) & (others != i)]
-            others = others[(sig[others] == sig[i]).sum(1) >= low]
-            a.append(np.full(len(others), i))
-            b.append(others)
-            s.append(np.zeros(len(others), bool))
-        return ref[np.concatenate(a)], ref[np.concatenate(b)], np.concatenate(s)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def done(key, ref, sig):
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            found = [pairs(ref[x:y], sig[x:y]) for x, y in zip(at, np.append(at[1:], len(key)), strict=True) if y - x > 1]
-            if found:
-                yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+def _same(sig: np.ndarray) -> np.ndarray:
+    """How many tokens each two rows share."""
+    out = np.zeros((len(sig), len(sig)), np.uint8)
+    for c in np.ascontiguousarray(sig.T):
+        out += c[:, None] == c
+    return out
+
 
+def _forest(same: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a heaviest spanning forest of the links of at least low, grown from row 0."""
+    n = len(same)
+    best, by = same[0].astype(np.int16), np.zeros(n, np.int64)
+    best[0] = -1
+    a, b = [], []
+    for _ in range(n - 1):
+        i = int(best.argmax())
+        if best[i] >= low:
+            a.append(i)
+            b.append(int(by[i]))
+        row = same[i]
+        nearer = row > best
+        nearer &= best >= 0
+        best[nearer] = row[nearer]
+        by[nearer] = i
+        best[i] = -1
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _compare(threshold: float, apart: bool = False):
+    """Candidates of small buckets: a forest of each, or (apart) all whose components differ.
+
+    Rows are key, ref, tokens (and component), sorted by key; a bucket may cross batches.
+    """
+    low = (threshold - LOOSE) * T
+
+    def pairs(ref: np.ndarray, sig: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = _same(sig)
+        a, b = np.nonzero(np.triu(same >= low, 1) & (of[:, None] != of)) if apart else _forest(same, low)
+        return ref[a], ref[b]
+
+    def done(key, ref, sig, of):
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        two = at[size == 2]
+        two = two[((sig[two] == sig[two + 1]).sum(1) >= low) & ~(apart & (of[two] == of[two + 1]))]
+        yield _pairs(ref[two], ref[two + 1])
+        for x, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            yield _pairs(*pairs(ref[x : x + n], sig[x : x + n], of[x : x + n]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.array(batch.column(0)), np.array(batch.column(1)), _sig(batch.column(2))
+            ref = np.array(batch.column(1))
+            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), np.array(batch.column(3)) if apart else ref
             if kept:
                 rows = tuple(np.concatenate([k, x]) for k, x in zip(kept.pop(), rows, strict=True))
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
             kept.append(tuple(x[last:] for x in rows))
             if last:
                 yield from done(*(x[:last] for x in rows))
         if kept:
             yield from done(*kept.pop())
 
-    return run
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        rows = 0
+        for out in run(batches):
+            waiting.append(out)
+            rows += out.num_rows
+            if rows >= 1 << 14 or len(waiting) >= 1 << 12:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches(1 << 30)[0] if rows else waiting[0]
+                waiting, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches(1 << 30)[0]
+
+    return merged
 
 
 def _meet(threshold: float, what: str):
-    """Of rows key, ref, hub, tokens, hub_tokens: the candidates (what "sure": who is sure of its hub says so), or the members that the hub does not stand for ("rest")."""
+    """Of rows key, ref, hub, tokens, hub_tokens: the candidates, or the members that the hub does not stand for ("rest")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +264,7 @@ def _meet(threshold: float, what: str):
                 yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(ref[pick])], schema=_KEYS)
             else:
                 pick = other & (same >= (threshold - LOOSE) * T)
-                yield _pairs(ref[pick], hub[pick], same[pick] >= (threshold + SURE) * T)
+                yield _pairs(ref[pick], hub[pick])
 
     return run
 
@@ -250,38 +280,45 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _by_bucket(rows: DataFrame, wide: int) -> DataFrame:
+    return rows.repartition(wide, "key").sortWithinPartitions("key")
+
+
 def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(pairs to confirm, members of the small buckets).  tokens: see TOKENS."""
+    """(pairs to confirm, members of the small buckets of more than two).  tokens: see TOKENS."""
     members = cut(tokens.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
     found: list[DataFrame] = []
     small: list[DataFrame] = []
     while True:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64("key", F.shiftright("ref", 1))).alias("hub")).where("size > 1")
         sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
-        few = sized.where(F.col("size") <= BUCKET).select("key", "ref")
-        small.append(few)
-        found.append(cut(few.join(tokens, "ref").select("key", "ref", "tokens").repartition(_wide(tokens), "key").sortWithinPartitions("key").mapInArrow(_compare(threshold), PAIRS).distinct(), "near"))
+        few = sized.where(F.col("size") <= BUCKET)
+        small.append(few.where("size > 2").select("key", "ref"))
+        found.append(_by_bucket(few.join(tokens, "ref").select("key", "ref", "tokens"), _wide(tokens)).mapInArrow(_compare(threshold), PAIRS))
         many = sized.where(F.col("size") > BUCKET)
         if many.isEmpty():
             return cut(_union(found).distinct(), "pairs"), _union(small)
         tokens = cut(tokens.join(many.select("ref").distinct(), "ref", "left_semi"), "tokens")  # deeper members come from these
         hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
-        met = many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens")
-        found.append(cut(met.mapInArrow(_meet(threshold, "sure"), PAIRS).distinct(), "hubs"))
+        met = cut(many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens"), "met")
+        found.append(met.mapInArrow(_meet(threshold, "pairs"), PAIRS))
         rest = met.mapInArrow(_meet(threshold, "rest"), MEMBERS)
         members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
 
 
-def refused(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """Candidates of members that were held to be with their hub and are not: all of their small buckets."""
-    wrong = pairs.where("sure").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a").join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
-    wrong = wrong.select(F.col("a").alias("node")).distinct()
-    of_wrong = small.withColumn("node", F.shiftright("ref", 1)).join(wrong, "node", "left_semi").select("key", F.col("ref").alias("hub"))
-    both = small.join(of_wrong, "key").where("ref <> hub").select("ref", "hub").distinct()
-    hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    met = both.join(tokens, "ref").join(hub, "hub").select(F.lit(0).cast("long").alias("key"), "ref", "hub", "tokens", "hub_tokens")
-    more = met.mapInArrow(_meet(threshold, "sure"), PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """Of small buckets in which a candidate was refused: all candidates between what links have not joined."""
+    comp = components(links)
+    of = comp.select(F.col("node"), F.col("component"))
+    a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    open_pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+    nodes = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = small.withColumn("node", F.shiftright("ref", 1))
+    keys = members.join(nodes, "node", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = cut(members.join(keys.select("key"), "key", "left_semi").join(of, "node", "left").select("key", "ref", F.coalesce("component", "node").alias("component")), "again")
+    rows = again.join(tokens, "ref").select("key", "ref", "tokens", "component")
+    more = _by_bucket(rows, _wide(tokens)).mapInArrow(_compare(threshold, apart=True), PAIRS).distinct()
+    return more.join(pairs, ["a", "b"], "left_anti")
 
 
 def _confirm(threshold: float):
@@ -350,10 +387,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(some: DataFrame) -> DataFrame:
         ends = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        ends = cut(ends, "ends")
+        ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
         return cut(confirm(some, every.join(ends, "node", "left_semi").dropDuplicates(["node"]), threshold), "links")
 
-    links = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = cut(refused(pairs, links, small, tokens, threshold), "refused")
+    links = confirmed(pairs)
+    more = cut(second_round(pairs, links, small, tokens, threshold), "second")
     if not more.isEmpty():
         links = cut(links.unionByName(confirmed(more)), "links")
     comp = components(links)
