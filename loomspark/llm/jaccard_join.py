@@ -51,6 +51,8 @@ LOOSE, SURE = 0.15, 0.08  # by how much a signature may fall short of the thresh
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = mix(np.arange(1, T + 1, dtype=np.uint64))
+FINE, FINE_LOOSE = 256, 0.1  # bytes of the finer signatures of the second round, and how far they may fall short
+_FINE_ODD = _rng.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGE = (np.arange(T, dtype=np.uint64) << np.uint64(58))
 
 
@@ -67,6 +69,14 @@ def minhash(u: np.ndarray) -> np.ndarray:
     return ((u[:, None] * _ODD) >> np.uint64(32)).min(0).astype(np.uint32)
 
 
+def finehash(u: np.ndarray) -> bytes:
+    """The last byte of each of FINE min-hashes."""
+    least = np.full(FINE, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(u), 512):
+        np.minimum(least, ((u[a : a + 512, None] * _FINE_ODD) >> np.uint64(32)).min(0), out=least)
+    return least.astype(np.uint8).tobytes()
+
+
 def onehash(u: np.ndarray) -> np.ndarray:
     """One-permutation min-hashes of a sorted set; an empty bin takes the next full one's, marked by the distance."""
     at = np.searchsorted(u, _EDGE)
@@ -123,6 +133,21 @@ def _sig(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, T)
 
 
+def _fine(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, FINE)
+
+
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """node, fine of node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([finehash(u) for u in _sets(buf, off)], pa.binary())], ["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+
+
 def _children(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and keys of the children that the paths draw; sig: tokens of each row."""
     drawn = mix(paths[:, None] + _COORD) < np.uint64(int(2**64 / (threshold * T)))
@@ -200,23 +225,29 @@ def _forest(same: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
 def _compare(threshold: float, apart: bool = False):
     """Candidates of small buckets: a forest of each, or (apart) all whose components differ.
 
-    Rows are key, ref, tokens (and component), sorted by key; a bucket may cross batches.
+    Rows are key, ref, tokens (and component, finer signature), sorted by key; a bucket may cross batches.
     """
-    low = (threshold - LOOSE) * T
+    low, low_fine = (threshold - LOOSE) * T, (threshold - FINE_LOOSE) * FINE
 
-    def pairs(ref: np.ndarray, sig: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(ref: np.ndarray, sig: np.ndarray, of: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         same = _same(sig)
-        a, b = np.nonzero(np.triu(same >= low, 1) & (of[:, None] != of)) if apart else _forest(same, low)
+        if not apart:
+            a, b = _forest(same, low)
+        else:
+            a, b = np.nonzero(np.triu(same >= low, 1) & (of[:, None] != of))
+            near = [(fine[a[k : k + 32768]] == fine[b[k : k + 32768]]).sum(1) >= low_fine for k in range(0, len(a), 32768)]
+            near = np.concatenate([*near, np.zeros(0, bool)])
+            a, b = a[near], b[near]
         return ref[a], ref[b]
 
-    def done(key, ref, sig, of):
+    def done(key, ref, sig, of, fine):
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(at, len(key)))
         two = at[size == 2]
         two = two[((sig[two] == sig[two + 1]).sum(1) >= low) & ~(apart & (of[two] == of[two + 1]))]
         yield _pairs(ref[two], ref[two + 1])
         for x, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            yield _pairs(*pairs(ref[x : x + n], sig[x : x + n], of[x : x + n]))
+            yield _pairs(*pairs(ref[x : x + n], sig[x : x + n], of[x : x + n], fine[x : x + n]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -224,7 +255,7 @@ def _compare(threshold: float, apart: bool = False):
             if not batch.num_rows:
                 continue
             ref = np.array(batch.column(1))
-            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), np.array(batch.column(3)) if apart else ref
+            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), *((np.array(batch.column(3)), _fine(batch.column(4))) if apart else (ref, ref))
             if kept:
                 rows = tuple(np.concatenate([k, x]) for k, x in zip(kept.pop(), rows, strict=True))
             last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
@@ -306,7 +337,7 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
         members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
 
 
-def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, texts_of, threshold: float) -> DataFrame:
     """Of small buckets in which a candidate was refused: all candidates between what links have not joined."""
     comp = components(links)
     of = comp.select(F.col("node"), F.col("component"))
@@ -316,7 +347,9 @@ def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: D
     members = small.withColumn("node", F.shiftright("ref", 1))
     keys = members.join(nodes, "node", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = cut(members.join(keys.select("key"), "key", "left_semi").join(of, "node", "left").select("key", "ref", F.coalesce("component", "node").alias("component")), "again")
-    rows = again.join(tokens, "ref").select("key", "ref", "tokens", "component")
+    fine = cut(fine_signatures(texts_of(again.select(F.shiftright("ref", 1).alias("node")).distinct())), "fine").dropDuplicates(["node"])
+    both = tokens.withColumn("node", F.shiftright("ref", 1)).join(fine, "node").select("ref", "tokens", "fine")
+    rows = again.join(both, "ref").select("key", "ref", "tokens", "component", "fine")
     more = _by_bucket(rows, _wide(tokens)).mapInArrow(_compare(threshold, apart=True), PAIRS).distinct()
     return more.join(pairs, ["a", "b"], "left_anti")
 
@@ -385,14 +418,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, small = candidates(tokens, threshold, recall)
     every = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def texts_of(ends: DataFrame) -> DataFrame:
+        ends = cut(ends, "ends")
+        return every.join(F.broadcast(ends) if ends.count() <= 1_000_000 else ends, "node", "left_semi")
+
     def confirmed(some: DataFrame) -> DataFrame:
         ends = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
-        ends = cut(ends, "ends")
-        ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
-        return cut(confirm(some, every.join(ends, "node", "left_semi").dropDuplicates(["node"]), threshold), "links")
+        return cut(confirm(some, texts_of(ends).dropDuplicates(["node"]), threshold), "links")
 
     links = confirmed(pairs)
-    more = cut(second_round(pairs, links, small, tokens, threshold), "second")
+    more = cut(second_round(pairs, links, small, tokens, texts_of, threshold), "second")
     if not more.isEmpty():
         links = cut(links.unionByName(confirmed(more)), "links")
     comp = components(links)
