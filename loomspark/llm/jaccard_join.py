@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, chunks, cut, hash_spans, mix, shingles, spans
+from .common import SPACE_WORDS, chunks, cut, hash_spans, mix, runs, shingles, spans
 
 T = 64
 K = 5
@@ -51,7 +51,8 @@ LOOSE, SURE = 0.15, 0.08  # by how much a signature may fall short of the thresh
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = mix(np.arange(1, T + 1, dtype=np.uint64))
-FINE, FINE_LOOSE = 256, 0.1  # bytes of the finer signatures of the second round, and how far they may fall short
+FINE, FINE_LOOSE = 256, 0.1  # bytes of the large sets' finer signatures of the second round, and how far they may fall short
+SET_LOOSE = 0.01  # how far small sets' 32-bit hashes may fall short
 _FINE_ODD = _rng.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGE = (np.arange(T, dtype=np.uint64) << np.uint64(58))
 
@@ -133,19 +134,45 @@ def _sig(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, T)
 
 
-def _fine(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, FINE)
+FINER = "ref long, fine binary"
 
 
-def fine_signatures(texts: DataFrame) -> DataFrame:
-    """node, fine of node, text."""
+def finer(texts: DataFrame) -> DataFrame:
+    """Per ref of node, text: a small set's sorted 32-bit hashes, a large one's finer signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([finehash(u) for u in _sets(buf, off)], pa.binary())], ["node", "fine"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+            nodes = batch.column(0).to_pylist()
+            for i, _, buf, off in chunks(batch.column(1)):
+                ref, fine = [], []
+                for node, u in zip(nodes[i:], _sets(buf, off), strict=False):
+                    if 0 < len(u) <= LARGE:
+                        ref.append(node * 2)
+                        fine.append((u >> np.uint64(32)).astype(np.uint32).tobytes())
+                    if len(u) >= SMALL:
+                        ref.append(node * 2 + 1)
+                        fine.append(finehash(u))
+                yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(fine, pa.binary())], ["ref", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, FINER)
+
+
+def _near_sets(a: np.ndarray, b: np.ndarray, sets: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows have sets of 32-bit hashes that reach the threshold; a is in order."""
+    if not len(a):
+        return np.zeros(0, bool)
+    flat = np.frombuffer(b"".join(sets), np.uint32)
+    size = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
+    first = np.cumsum(size) - size
+    out = np.zeros(len(a), bool)
+    at = np.flatnonzero(np.diff(a, prepend=-1))
+    for x, y in zip(at, np.append(at[1:], len(a)), strict=True):
+        own, others = flat[first[a[x]] : first[a[x]] + size[a[x]]], b[x:y]
+        values = flat[runs(first[others], size[others])]
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[others]) - size[others])
+        out[x:y] = both >= (threshold - SET_LOOSE) * (len(own) + size[others] - both)
+    return out
 
 
 def _children(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +252,7 @@ def _forest(same: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
 def _compare(threshold: float, apart: bool = False):
     """Candidates of small buckets: a forest of each, or (apart) all whose components differ.
 
-    Rows are key, ref, tokens (and component, finer signature), sorted by key; a bucket may cross batches.
+    Rows are key, ref, tokens (and component, fine of FINER), sorted by key; a bucket may cross batches.
     """
     low, low_fine = (threshold - LOOSE) * T, (threshold - FINE_LOOSE) * FINE
 
@@ -235,8 +262,11 @@ def _compare(threshold: float, apart: bool = False):
             a, b = _forest(same, low)
         else:
             a, b = np.nonzero(np.triu(same >= low, 1) & (of[:, None] != of))
-            near = [(fine[a[k : k + 32768]] == fine[b[k : k + 32768]]).sum(1) >= low_fine for k in range(0, len(a), 32768)]
-            near = np.concatenate([*near, np.zeros(0, bool)])
+            if ref[0] & 1:  # a bucket holds tokens of one kind
+                bytes_of = np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE)
+                near = np.concatenate([np.zeros(0, bool)] + [(bytes_of[a[k : k + 32768]] == bytes_of[b[k : k + 32768]]).sum(1) >= low_fine for k in range(0, len(a), 32768)])
+            else:
+                near = _near_sets(a, b, fine, threshold)
             a, b = a[near], b[near]
         return ref[a], ref[b]
 
@@ -255,7 +285,7 @@ def _compare(threshold: float, apart: bool = False):
             if not batch.num_rows:
                 continue
             ref = np.array(batch.column(1))
-            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), *((np.array(batch.column(3)), _fine(batch.column(4))) if apart else (ref, ref))
+            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), *((np.array(batch.column(3)), np.array(batch.column(4).to_pylist(), object)) if apart else (ref, ref))
             if kept:
                 rows = tuple(np.concatenate([k, x]) for k, x in zip(kept.pop(), rows, strict=True))
             last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
@@ -347,9 +377,8 @@ def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: D
     members = small.withColumn("node", F.shiftright("ref", 1))
     keys = members.join(nodes, "node", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = cut(members.join(keys.select("key"), "key", "left_semi").join(of, "node", "left").select("key", "ref", F.coalesce("component", "node").alias("component")), "again")
-    fine = cut(fine_signatures(texts_of(again.select(F.shiftright("ref", 1).alias("node")).distinct())), "fine").dropDuplicates(["node"])
-    both = tokens.withColumn("node", F.shiftright("ref", 1)).join(fine, "node").select("ref", "tokens", "fine")
-    rows = again.join(both, "ref").select("key", "ref", "tokens", "component", "fine")
+    fine = cut(finer(texts_of(again.select(F.shiftright("ref", 1).alias("node")).distinct())), "fine").dropDuplicates(["ref"])
+    rows = again.join(tokens.join(fine, "ref"), "ref").select("key", "ref", "tokens", "component", "fine")
     more = _by_bucket(rows, _wide(tokens)).mapInArrow(_compare(threshold, apart=True), PAIRS).distinct()
     return more.join(pairs, ["a", "b"], "left_anti")
 
