@@ -1,7 +1,7 @@
 """Shared parts: the checkpoint folder, bounded broadcasts and a vectorised text kernel.
 
-The kernel works on Arrow string buffers.  A batch is cut into chunks of about two
-megabytes of text (a longer text is a chunk of its own), words are found as byte spans
+The kernel works on Arrow string buffers.  A batch is cut into chunks of about half a
+megabyte of text (a longer text is a chunk of its own), words are found as byte spans
 with numpy, and each word gets a 64-bit polynomial hash.  No Python object is made per
 word, so a word costs some tens of nanoseconds.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 # ---------------------------------------------------------------- shared folder
 
