@@ -63,6 +63,16 @@ def write_file(path: str, data: np.ndarray) -> None:
     os.replace(part, path)
 
 
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to at most BATCH_ROWS rows: a row is a whole text, and the JVM holds a batch outside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 # ---------------------------------------------------------------- text kernel
 
 #: White space of the word rule [^\x20\x09-\x0D]+.
