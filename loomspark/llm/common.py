@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain as chain_lists
 
 import numpy as np
 import pyarrow as pa
@@ -210,32 +211,41 @@ def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of words by their hash, as packed arrays; the words of the last two spans of use stay."""
+    """Ids of words by their hash, in sorted arrays; of more than `words` words, half of them, last used, stay."""
 
     def __init__(self, kind: type, words: int):
-        self.kind, self.words = np.dtype(kind), words
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-
-    def missing(self, keys: list[int]) -> list[int]:
-        """Positions of the keys that are not kept; the others are kept until the next call."""
-        if len(self.young) > self.words:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for i, k in enumerate(keys):
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(i)
-        return out
-
-    def expand(self, keys: list[int], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words keys[back], and where each word's ids begin (with the end)."""
-        each = list(map(self.young.__getitem__, keys))
-        size = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
-        at = np.cumsum(size) - size
-        count = size[back]
+        self.words, self.clock = words, 0
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, kind)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys (in order, distinct) that are not kept; the others are kept until the next call."""
+        self.clock += 1
+        if not len(self.keys):
+            return np.arange(len(keys))
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        have = self.keys[place] == keys
+        self.used[place[have]] = self.clock
+        return np.flatnonzero(~have)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Take in the missing keys, in order."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        place = np.searchsorted(self.keys, keys)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter(chain_lists.from_iterable(ids), self.flat.dtype, int(size.sum()))])
+        self.keys, self.at, self.size, self.used = (np.insert(old, place, new) for old, new in ((self.keys, keys), (self.at, at), (self.size, size), (self.used, self.clock)))
+        if len(self.keys) > self.words:
+            k = len(self.keys) - self.words // 2
+            keep = self.used >= np.partition(self.used, k)[k]
+            self.keys, at, self.size, self.used = self.keys[keep], self.at[keep], self.size[keep], self.used[keep]
+            self.flat, self.at = self.flat[runs(at, self.size)], np.cumsum(self.size) - self.size
+
+    def expand(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the kept words keys[back], and where each word's ids begin (with the end)."""
+        place = np.searchsorted(self.keys, keys)
+        at, count = self.at[place], self.size[place][back]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        return np.frombuffer(b"".join(each), self.kind)[runs(at[back], count)], total
+        return self.flat[runs(at[back], count)], total

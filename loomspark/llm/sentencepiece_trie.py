@@ -22,7 +22,6 @@ empty table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, chunks, hash_spans, runs
 
-CHUNK = 6 << 20
-CACHE_WORDS = 500_000
+CHUNK = 1 << 20
+CACHE_WORDS = 300_000
 MARK = "▁"
 
 
@@ -175,14 +174,15 @@ class Encoder:
             firsts[np.searchsorted(start, off[:-1][np.diff(off) > 0])] = True
             h = h ^ np.where(firsts, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        new = self.cache.missing(listed)
+        new = self.cache.missing(keys)
         data = buf.tobytes()
-        words = sorted(((" " if f else "") + data[a:b].decode()).replace(" ", MARK) + "\0" + str(i) for i, a, b, f in zip(new, *(x[where[new]].tolist() for x in (start, end, firsts)), strict=True))
+        words = sorted(((" " if f else "") + data[a:b].decode()).replace(" ", MARK) + "\0" + str(i) for i, (a, b, f) in enumerate(zip(*(x[where[new]].tolist() for x in (start, end, firsts)), strict=True)))
         parts = [w.rpartition("\0") for w in words]
+        each: list[list[int]] = [[]] * len(new)
         for (_, _, i), ids in zip(parts, self.walk([w for w, _, _ in parts]), strict=True):
-            self.cache.young[listed[int(i)]] = array("i", ids).tobytes()
-        ids, total = self.cache.expand(listed, back)
+            each[int(i)] = ids
+        self.cache.add(keys[new], each)
+        ids, total = self.cache.expand(keys, back)
         return ids, total[np.searchsorted(start, off)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

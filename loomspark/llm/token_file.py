@@ -26,7 +26,6 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +40,7 @@ from .id_coder import BLOCK, LANES, decode_blocks, encode_blocks
 MAGIC = b"LMIDS01\n"
 FILE_BYTES = 24 << 20
 CACHE_WORDS = 500_000
+WORDS_AT_ONCE = 4096
 CHUNK = 4 << 20
 
 _classes: np.ndarray | None = None
@@ -123,13 +123,12 @@ class Tokens:
         if len(start):
             end = np.append(start[1:], len(buf))
             keys, where, back = np.unique(hash_spans(buf, start, end, lower=False), return_index=True, return_inverse=True)
-            listed = keys.tolist()
-            new = self.cache.missing(listed)
+            new = self.cache.missing(keys)
             data = buf.tobytes()
             words = [data[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
-            for i, e in zip(new, self.own.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.cache.young[listed[i]] = array("I", e.ids).tobytes()
-            ids, total = self.cache.expand(listed, back)
+            found = (e.ids for k in range(0, len(words), WORDS_AT_ONCE) for e in self.own.encode_batch_fast(words[k : k + WORDS_AT_ONCE], add_special_tokens=False))
+            self.cache.add(keys[new], list(found))
+            ids, total = self.cache.expand(keys, back)
             first = total[np.searchsorted(start, off)]
         else:
             ids, first = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
