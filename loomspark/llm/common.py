@@ -211,7 +211,10 @@ def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of words by their hash, in sorted arrays; of more than `words` words, half of them, last used, stay."""
+    """Ids of words by their hash, in sorted arrays; of more than `words` words, half of them, last used, stay.
+
+    Words last used in one call go or stay together, so as many as one call brings may be kept beyond `words`.
+    """
 
     def __init__(self, kind: type, words: int):
         self.words, self.clock = words, 0

@@ -185,3 +185,19 @@ def test_word_hashes_tell_words_apart():
     h = common.hash_spans(buf, start, end)
     words = re.findall(r"[^\x20\x09-\x0D]+", text.replace("T", "t"))
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+
+
+def test_word_cache_forgets_and_expands():
+    from loomspark.llm.common import WordCache
+
+    rng = np.random.default_rng(3)
+    ids_of = {k: [k % 7] * (k % 4) for k in range(200)}
+    cache = WordCache(np.int32, 40)
+    for n in [0, 5, 30, 60, 1, 25, 90, 3] * 4:  # more at once than the cache keeps, too
+        drawn = rng.integers(0, 200, n).astype(np.uint64)
+        keys, back = np.unique(drawn, return_inverse=True)
+        new = cache.missing(keys)
+        cache.add(keys[new], [ids_of[int(k)] for k in keys[new]])
+        flat, at = cache.expand(keys, back)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of[int(k)] for k in drawn]
+        assert len(cache.keys) <= 40 + 90  # words of one call tie and stay together
