@@ -8,17 +8,21 @@ In each run a node starts in one bucket and moves on, from a bucket too large to
 the buckets of the (coordinate, token) pairs that the bucket's own random choice draws; a
 coordinate is drawn with probability 1 / (threshold * T), so a pair at the threshold is expected
 to stay together in one child.  Buckets of up to BUCKET nodes are compared at once on short
-signatures; candidates are then confirmed by exact Jaccard on their whole texts.  The number of
-runs follows from the target recall and the depth of the recursion.
-
-Dense groups.  The pairs of a group of thousands of near copies must not all be listed.  A small
-bucket gives out a heaviest spanning forest of its candidates.  Where the exact count refuses a
-link of it, the second round gives out all candidates of that bucket whose ends confirmed links
-have not joined yet, so no class depends on which links the forest took.  Buckets above BUCKET
-name a hub (a member that a hash draws, another one in each bucket).  Each member meets the hub;
-who the signatures put well within the threshold (SURE) is left with it, everyone else
-moves on, however deep.  As every level takes the hub and those with it out, all buckets end, and
-none is cut off.
+signatures, and give out a heaviest spanning forest of their candidates.  The number of runs
+follows from the target recall and the depth of the recursion.
+
+Dense groups.  Buckets above BUCKET name a hub (a member that a hash draws, another one in each
+bucket).  Each member meets the hub; who the signatures put well within the threshold (SURE) leaves
+with it, everyone else moves on, however deep.  As every level takes the hub and those with it
+out, all buckets end, and none is cut off.  Who leaves shares at least threshold + SURE of its tokens
+with the hub, so a candidate of it (threshold - LOOSE) shares at least the sum of both less 1 with the
+hub: the shares of different tokens are distances, and no way round is shorter.  The hub is therefore
+tied to all members that share that much (star), and who leaves is parted from no candidate.
+
+So the pairs tell which nodes candidates connect, not which candidates there are.  All nodes of
+such a component are then compared with one another by the exact Jaccard of their whole sets, in
+blocks of bounded size, dealt by pairs of blocks; blocks whose sizes can't reach the threshold
+don't meet.
 
 Buckets are counted by partial aggregation first, single ones leave at once, and large ones are
 never gathered: they only get their hub by a join.  Members are (bucket, node) numbers; tokens are
@@ -37,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, chunks, cut, hash_spans, mix, runs, shingles, spans
@@ -47,13 +51,11 @@ K = 5
 SMALL, LARGE = 320, 512  # sets up to LARGE get full min-hashes, from SMALL on one-permutation ones: both in between
 BUCKET = 2048
 DEPTH = 5
-LOOSE, SURE = 0.15, 0.08  # by how much a signature may fall short of the threshold, and be above it for a link to the hub to stand for the others
+LOOSE, SURE = 0.15, 0.08  # by how much a signature may fall short of the threshold, and be above it for a member to leave with the hub
+STEP, LIGHT = 1 << 18, 256  # shingles of a block of a component, and how many a member counts for at least
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = mix(np.arange(1, T + 1, dtype=np.uint64))
-FINE, FINE_LOOSE = 256, 0.1  # bytes of the large sets' finer signatures of the second round, and how far they may fall short
-SET_LOOSE = 0.01  # how far small sets' 32-bit hashes may fall short
-_FINE_ODD = _rng.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGE = (np.arange(T, dtype=np.uint64) << np.uint64(58))
 
 
@@ -70,14 +72,6 @@ def minhash(u: np.ndarray) -> np.ndarray:
     return ((u[:, None] * _ODD) >> np.uint64(32)).min(0).astype(np.uint32)
 
 
-def finehash(u: np.ndarray) -> bytes:
-    """The last byte of each of FINE min-hashes."""
-    least = np.full(FINE, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(u), 512):
-        np.minimum(least, ((u[a : a + 512, None] * _FINE_ODD) >> np.uint64(32)).min(0), out=least)
-    return least.astype(np.uint8).tobytes()
-
-
 def onehash(u: np.ndarray) -> np.ndarray:
     """One-permutation min-hashes of a sorted set; an empty bin takes the next full one's, marked by the distance."""
     at = np.searchsorted(u, _EDGE)
@@ -134,47 +128,6 @@ def _sig(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, T)
 
 
-FINER = "ref long, fine binary"
-
-
-def finer(texts: DataFrame) -> DataFrame:
-    """Per ref of node, text: a small set's sorted 32-bit hashes, a large one's finer signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            for i, _, buf, off in chunks(batch.column(1)):
-                ref, fine = [], []
-                for node, u in zip(nodes[i:], _sets(buf, off), strict=False):
-                    if 0 < len(u) <= LARGE:
-                        ref.append(node * 2)
-                        fine.append((u >> np.uint64(32)).astype(np.uint32).tobytes())
-                    if len(u) >= SMALL:
-                        ref.append(node * 2 + 1)
-                        fine.append(finehash(u))
-                yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(fine, pa.binary())], ["ref", "fine"])
-
-    return texts.select("node", "text").mapInArrow(run, FINER)
-
-
-def _near_sets(a: np.ndarray, b: np.ndarray, sets: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of rows have sets of 32-bit hashes that reach the threshold; a is in order."""
-    if not len(a):
-        return np.zeros(0, bool)
-    flat = np.frombuffer(b"".join(sets), np.uint32)
-    size = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
-    first = np.cumsum(size) - size
-    out = np.zeros(len(a), bool)
-    at = np.flatnonzero(np.diff(a, prepend=-1))
-    for x, y in zip(at, np.append(at[1:], len(a)), strict=True):
-        own, others = flat[first[a[x]] : first[a[x]] + size[a[x]]], b[x:y]
-        values = flat[runs(first[others], size[others])]
-        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[others]) - size[others])
-        out[x:y] = both >= (threshold - SET_LOOSE) * (len(own) + size[others] - both)
-    return out
-
-
 def _children(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and keys of the children that the paths draw; sig: tokens of each row."""
     drawn = mix(paths[:, None] + _COORD) < np.uint64(int(2**64 / (threshold * T)))
@@ -249,43 +202,29 @@ def _forest(same: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compare(threshold: float, apart: bool = False):
-    """Candidates of small buckets: a forest of each, or (apart) all whose components differ.
+def _compare(threshold: float):
+    """Candidates of small buckets: a forest of each.
 
-    Rows are key, ref, tokens (and component, fine of FINER), sorted by key; a bucket may cross batches.
+    Rows are key, ref, tokens, sorted by key; a bucket may cross batches.
     """
-    low, low_fine = (threshold - LOOSE) * T, (threshold - FINE_LOOSE) * FINE
+    low = (threshold - LOOSE) * T
 
-    def pairs(ref: np.ndarray, sig: np.ndarray, of: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        same = _same(sig)
-        if not apart:
-            a, b = _forest(same, low)
-        else:
-            a, b = np.nonzero(np.triu(same >= low, 1) & (of[:, None] != of))
-            if ref[0] & 1:  # a bucket holds tokens of one kind
-                bytes_of = np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE)
-                near = np.concatenate([np.zeros(0, bool)] + [(bytes_of[a[k : k + 32768]] == bytes_of[b[k : k + 32768]]).sum(1) >= low_fine for k in range(0, len(a), 32768)])
-            else:
-                near = _near_sets(a, b, fine, threshold)
-            a, b = a[near], b[near]
-        return ref[a], ref[b]
-
-    def done(key, ref, sig, of, fine):
+    def done(key, ref, sig):
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(at, len(key)))
         two = at[size == 2]
-        two = two[((sig[two] == sig[two + 1]).sum(1) >= low) & ~(apart & (of[two] == of[two + 1]))]
+        two = two[(sig[two] == sig[two + 1]).sum(1) >= low]
         yield _pairs(ref[two], ref[two + 1])
         for x, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            yield _pairs(*pairs(ref[x : x + n], sig[x : x + n], of[x : x + n], fine[x : x + n]))
+            a, b = _forest(_same(sig[x : x + n]), low)
+            yield _pairs(ref[x + a], ref[x + b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ref = np.array(batch.column(1))
-            rows = np.array(batch.column(0)), ref, _sig(batch.column(2)), *((np.array(batch.column(3)), np.array(batch.column(4).to_pylist(), object)) if apart else (ref, ref))
+            rows = np.array(batch.column(0)), np.array(batch.column(1)), _sig(batch.column(2))
             if kept:
                 rows = tuple(np.concatenate([k, x]) for k, x in zip(kept.pop(), rows, strict=True))
             last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
@@ -311,7 +250,8 @@ def _compare(threshold: float, apart: bool = False):
 
 
 def _meet(threshold: float, what: str):
-    """Of rows key, ref, hub, tokens, hub_tokens: the candidates, or the members that the hub does not stand for ("rest")."""
+    """Of rows key, ref, hub, tokens, hub_tokens: the star of the hub, or the members that do not leave with it ("rest")."""
+    star = (threshold - LOOSE) + (threshold + SURE) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +264,7 @@ def _meet(threshold: float, what: str):
                 pick = other & (same < (threshold + SURE) * T)
                 yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(ref[pick])], schema=_KEYS)
             else:
-                pick = other & (same >= (threshold - LOOSE) * T)
+                pick = other & (same >= star * T)
                 yield _pairs(ref[pick], hub[pick])
 
     return run
@@ -345,20 +285,18 @@ def _by_bucket(rows: DataFrame, wide: int) -> DataFrame:
     return rows.repartition(wide, "key").sortWithinPartitions("key")
 
 
-def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(pairs to confirm, members of the small buckets of more than two).  tokens: see TOKENS."""
+def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> DataFrame:
+    """Pairs that connect all nodes which candidates connect.  tokens: see TOKENS."""
     members = cut(tokens.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
     found: list[DataFrame] = []
-    small: list[DataFrame] = []
     while True:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64("key", F.shiftright("ref", 1))).alias("hub")).where("size > 1")
         sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
         few = sized.where(F.col("size") <= BUCKET)
-        small.append(few.where("size > 2").select("key", "ref"))
         found.append(_by_bucket(few.join(tokens, "ref").select("key", "ref", "tokens"), _wide(tokens)).mapInArrow(_compare(threshold), PAIRS))
         many = sized.where(F.col("size") > BUCKET)
         if many.isEmpty():
-            return cut(_union(found).distinct(), "pairs"), _union(small)
+            return cut(_union(found).distinct(), "pairs")
         tokens = cut(tokens.join(many.select("ref").distinct(), "ref", "left_semi"), "tokens")  # deeper members come from these
         hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
         met = cut(many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens"), "met")
@@ -367,54 +305,6 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
         members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
 
 
-def second_round(pairs: DataFrame, links: DataFrame, small: DataFrame, tokens: DataFrame, texts_of, threshold: float) -> DataFrame:
-    """Of small buckets in which a candidate was refused: all candidates between what links have not joined."""
-    comp = components(links)
-    of = comp.select(F.col("node"), F.col("component"))
-    a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-    open_pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
-    nodes = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = small.withColumn("node", F.shiftright("ref", 1))
-    keys = members.join(nodes, "node", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = cut(members.join(keys.select("key"), "key", "left_semi").join(of, "node", "left").select("key", "ref", F.coalesce("component", "node").alias("component")), "again")
-    fine = cut(finer(texts_of(again.select(F.shiftright("ref", 1).alias("node")).distinct())), "fine").dropDuplicates(["ref"])
-    rows = again.join(tokens.join(fine, "ref"), "ref").select("key", "ref", "tokens", "component", "fine")
-    more = _by_bucket(rows, _wide(tokens)).mapInArrow(_compare(threshold, apart=True), PAIRS).distinct()
-    return more.join(pairs, ["a", "b"], "left_anti")
-
-
-def _confirm(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray | None] = (-1, None)
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            right = (u for _, _, buf, off in chunks(batch.column(3)) for u in _sets(buf, off))
-            ids, left = batch.column(0).to_pylist(), batch.column(2)
-            for k, (a, b, v) in enumerate(zip(ids, batch.column(1).to_pylist(), right, strict=True)):
-                if last[0] != a or last[1] is None:
-                    last = (a, next(u for _, _, buf, off in chunks(left.slice(k, 1)) for u in _sets(buf, off)))
-                u = last[1]
-                if min(len(u), len(v)) < threshold * max(len(u), len(v)):
-                    continue
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                j = both / (len(u) + len(v) - both)
-                if j >= threshold:
-                    for x, y in zip(out, (a, b, j), strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema, strict=True)], schema=schema)
-
-    return run
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole texts reach the threshold.  texts: node, text."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_confirm(threshold), "a long, b long, jaccard double")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links lead to; of nodes that have links.
 
@@ -434,6 +324,168 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step.select("node", "component")
 
 
+def blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """node, component, block, lo, hi: blocks of a component by the sets' sizes, and the first and last that a block meets.
+
+    members: node, component, n.
+    """
+    weight = F.greatest("n", F.lit(LIGHT)).cast("long")
+    by_size = Window.partitionBy("component").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cut(members.select("node", "component", "n", F.floor((F.sum(weight).over(by_size) - weight) / STEP).cast("int").alias("block")), "blocks")
+    ends = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = ends.selectExpr("component", "block other", "least other_least", "most other_most")
+    meets = F.when(F.col("block") <= F.col("other"), F.col("other_least") * threshold - 1e-6 <= F.col("most")).otherwise(F.col("least") * threshold - 1e-6 <= F.col("other_most"))
+    reach = ends.join(other, "component").where(meets).groupBy("component", "block").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return cut(placed.join(reach, ["component", "block"]).select("node", "component", "block", "lo", "hi"), "blocks")
+
+
+SHARED = "component long, x int, y int, block int, node long, shingles binary"
+_SHARED = pa.schema([("component", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("shingles", pa.binary())])
+OUT_BYTES = 1 << 22
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of node, component, block, lo, hi, text: the set for each pair of blocks, see SHARED."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        node, component, block, lo, hi = (batch.column(i).to_pylist() for i in range(5))
+        for i, _, buf, off in chunks(batch.column(5)):
+            for k, u in enumerate(_sets(buf, off), i):
+                if not len(u):
+                    continue
+                raw = u.tobytes()
+                for other in range(lo[k], hi[k] + 1):
+                    rows.append((component[k], min(block[k], other), max(block[k], other), block[k], node[k], raw))
+                    held += len(raw)
+                    if held >= OUT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SHARED, strict=True)], schema=_SHARED)
+                        rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SHARED, strict=True)], schema=_SHARED)
+
+
+def in_both(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each set of left shares with each of right (None: of left)."""
+    every = left + (right or [])
+    flat = np.concatenate(every)
+    row = np.repeat(np.arange(len(every)), [len(u) for u in every])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    n_left = n_right = np.diff(np.append(first, len(flat)))
+    at = first
+    if right is not None:
+        n_left = np.add.reduceat((row < len(left)).astype(np.int64), first)
+        n_right = n_right - n_left
+        at = first + n_left
+    some = (n_left * n_right > 0) if right is not None else n_left > 1
+    first, at, n_left, n_right = first[some], at[some], n_left[some], n_right[some]
+    a, b = row, row if right is None else row - len(left)
+    out = np.zeros((len(left), len(left) if right is None else len(right)))
+    few = n_left * n_right <= 64
+    flat_out = out.reshape(-1)
+    rare = np.flatnonzero(few)
+    for k in range(0, len(rare), 4096):
+        g = rare[k : k + 4096]
+        i = np.repeat(a[runs(first[g], n_left[g])], np.repeat(n_right[g], n_left[g]))
+        j = b[runs(np.repeat(at[g], n_left[g]), np.repeat(n_right[g], n_left[g]))]
+        np.add.at(flat_out, i * out.shape[1] + j, 1.0)
+    often = np.flatnonzero(~few)
+    for k in range(0, len(often), 1024):  # a part's counts are exact in 32 bits
+        g = often[k : k + 1024]
+        x = np.zeros((len(left), len(g)), np.float32)
+        x[a[runs(first[g], n_left[g])], np.repeat(np.arange(len(g)), n_left[g])] = 1
+        y = x
+        if right is not None:
+            y = np.zeros((len(right), len(g)), np.float32)
+            y[b[runs(at[g], n_right[g])], np.repeat(np.arange(len(g)), n_right[g])] = 1
+        out += x @ y.T
+    return out
+
+
+def _tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix of links."""
+    new = np.ones(len(near), bool)
+    a, b = [], []
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            to = np.flatnonzero(near[i] & new)
+            new[to] = False
+            a += [i] * len(to)
+            b += to.tolist()
+            todo += to.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int | None, list[np.ndarray]]]:
+    """(nodes, how many are of the first block or None for a block with itself, sets) of each pair of blocks.
+
+    Rows are SHARED in order; a repeated node counts once.
+    """
+    last, of_x = (-1, -1, -1), 0
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+    for batch in batches:
+        for component, x, y, block, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (component, x, y) != last:
+                if len(nodes) > 1:
+                    yield np.array(nodes, np.int64), None if last[1] == last[2] else of_x, sets
+                last, of_x, nodes, sets = (component, x, y), 0, [], []
+            if nodes and nodes[-1] == node:
+                continue
+            of_x += block == x
+            nodes.append(node)
+            sets.append(np.frombuffer(raw, np.uint64))
+    if len(nodes) > 1:
+        yield np.array(nodes, np.int64), None if last[1] == last[2] else of_x, sets
+
+
+LINKS = "a long, b long, jaccard double"
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _links(threshold: float):
+    """Links that connect whatever the links of each pair of blocks connect; rows as for _block_pairs."""
+
+    def found(nodes: np.ndarray, of_x: int | None, sets: list[np.ndarray]) -> list[np.ndarray]:
+        k, right = (len(sets), 0) if of_x is None else (of_x, of_x)
+        size = np.array([len(u) for u in sets], float)
+        both = in_both(sets[:k], None if of_x is None else sets[k:])
+        share = both / (size[:k, None] + size[right:] - both)
+        near = share >= threshold
+        if of_x is None:
+            np.fill_diagonal(near, False)
+            square = near
+        else:
+            square = np.zeros((len(sets), len(sets)), bool)
+            square[:k, k:], square[k:, :k] = near, near.T
+        a, b = _tree(square)
+        jaccard = share[np.minimum(a, b), np.maximum(a, b) - right]
+        a, b = nodes[a], nodes[b]
+        return [np.minimum(a, b), np.maximum(a, b), jaccard]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        rows = 0
+        for pair in _block_pairs(batches):
+            waiting.append(found(*pair))
+            rows += len(waiting[-1][0])
+            if rows >= 1 << 14 or len(waiting) >= 1 << 12:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=_LINK)
+                waiting, rows = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=_LINK)
+
+    return run
+
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.995) -> tuple[DataFrame, DataFrame]:
     """(rows, links).
 
@@ -442,23 +494,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links: a, b, jaccard between nodes.
     """
     rows = cut(sketch(docs, id_col, text_col), "sketch")
-    nodes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("small", True).alias("small"), F.first("large", True).alias("large")), "nodes")
+    nodes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("small", True).alias("small"), F.first("large", True).alias("large")), "nodes")
     tokens = cut(_union([nodes.where(f"{c} is not null").select((F.col("node") * 2 + k).alias("ref"), F.col(c).alias("tokens")) for k, c in enumerate(("small", "large"))]), "tokens")
-    pairs, small = candidates(tokens, threshold, recall)
-    every = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def texts_of(ends: DataFrame) -> DataFrame:
-        ends = cut(ends, "ends")
-        return every.join(F.broadcast(ends) if ends.count() <= 1_000_000 else ends, "node", "left_semi")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        ends = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
-        return cut(confirm(some, texts_of(ends).dropDuplicates(["node"]), threshold), "links")
-
-    links = confirmed(pairs)
-    more = cut(second_round(pairs, links, small, tokens, texts_of, threshold), "second")
-    if not more.isEmpty():
-        links = cut(links.unionByName(confirmed(more)), "links")
+    near = components(candidates(tokens, threshold, recall))
+    placed = blocks(near.join(nodes.select("node", "n"), "node"), threshold)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(placed) if placed.count() <= 1_000_000 else placed, "node").select("node", "component", "block", "lo", "hi", "text")
+    dealt = texts.mapInArrow(_dealt, SHARED).repartition(_wide(docs), "component", "x", "y").sortWithinPartitions("component", "x", "y", "block", "node")
+    links = cut(dealt.mapInArrow(_links(threshold), LINKS), "links")
     comp = components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_node = nodes.select("digest", "node", "copies").join(comp, "node", "left").join(degree, "node", "left")

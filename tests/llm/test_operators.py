@@ -201,3 +201,24 @@ def test_word_cache_forgets_and_expands():
         flat, at = cache.expand(keys, back)
         assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of[int(k)] for k in drawn]
         assert len(cache.keys) <= 40 + 90  # words of one call tie and stay together
+
+
+def test_jaccard_links_members_that_leave_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 20)  # the group is above it at every level
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in r.sample(range(len(out)), n):
+            out[i] = f"e{r.random()}"
+        return out
+
+    members = [edited(base, 1) for _ in range(300)]
+    texts = [" ".join(t) for t in members + [edited(members[k], 4) for k in range(60)]]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    linked = {i for i in range(300, 360) if any(len(sets[i] & s) / len(sets[i] | s) >= 0.8 for j, s in enumerate(sets) if j != i)}
+    assert len(linked) > 50
+    rows, _ = jaccard_join.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {row["_id"]: row["class_id"] for row in rows.collect()}
+    assert all(got[i] == 0 for i in linked) and all(got[i] == i for i in range(300, 360) if i not in linked)
