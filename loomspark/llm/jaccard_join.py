@@ -22,7 +22,8 @@ tied to all members that share that much (star), and who leaves is parted from n
 So the pairs tell which nodes candidates connect, not which candidates there are.  All nodes of
 such a component are then compared with one another by the exact Jaccard of their whole sets, in
 blocks of bounded size, dealt by pairs of blocks; blocks whose sizes can't reach the threshold
-don't meet.
+don't meet.  A task counts the links of each node and writes only a spanning forest of them, so
+numbers of links are those of all pairs and no table holds the pairs.
 
 Buckets are counted by partial aggregation first, single ones leave at once, and large ones are
 never gathered: they only get their hub by a join.  Members are (bucket, node) numbers; tokens are
@@ -448,10 +449,17 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 LINKS = "a long, b long, jaccard double"
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+#: A link (n_links -1), or a node's number of links in a pair of blocks (b -1).
+COUNTED = "a long, b long, n_links long"
+_COUNTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_links", pa.int64())])
 
 
-def _links(threshold: float):
-    """Links that connect whatever the links of each pair of blocks connect; rows as for _block_pairs."""
+def _links(threshold: float, every: bool):
+    """Every link (LINKS), or links that connect the same nodes and all nodes' numbers of links (COUNTED).
+
+    Rows are as for _block_pairs; two nodes meet in one pair of blocks only, so the numbers add up.
+    """
+    schema = _LINK if every else _COUNTED
 
     def found(nodes: np.ndarray, of_x: int | None, sets: list[np.ndarray]) -> list[np.ndarray]:
         k, right = (len(sets), 0) if of_x is None else (of_x, of_x)
@@ -461,14 +469,20 @@ def _links(threshold: float):
         near = share >= threshold
         if of_x is None:
             np.fill_diagonal(near, False)
+        if every:
+            a, b = np.nonzero(near if of_x is not None else np.triu(near))
+            jaccard, a, b = share[a, b], nodes[a], nodes[b + right]
+            return [np.minimum(a, b), np.maximum(a, b), jaccard]
+        if of_x is None:
             square = near
         else:
             square = np.zeros((len(sets), len(sets)), bool)
             square[:k, k:], square[k:, :k] = near, near.T
         a, b = _tree(square)
-        jaccard = share[np.minimum(a, b), np.maximum(a, b) - right]
-        a, b = nodes[a], nodes[b]
-        return [np.minimum(a, b), np.maximum(a, b), jaccard]
+        degree = square.sum(1)
+        some = np.flatnonzero(degree)
+        a, b, none = nodes[a], nodes[b], np.full(len(a), -1)
+        return [np.append(np.minimum(a, b), nodes[some]), np.append(np.maximum(a, b), np.full(len(some), -1)), np.append(none, degree[some])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
@@ -477,10 +491,10 @@ def _links(threshold: float):
             waiting.append(found(*pair))
             rows += len(waiting[-1][0])
             if rows >= 1 << 14 or len(waiting) >= 1 << 12:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=_LINK)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=schema)
                 waiting, rows = [], 0
         if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=_LINK)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], schema=schema)
 
     return run
 
@@ -490,8 +504,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(rows, links).
 
     rows: _id, class_id (the smallest id that links lead to), node (the smallest id with the same
-    shingle set), n_links (confirmed links of the node), n_copies (rows of the node).
-    links: a, b, jaccard between nodes.
+    shingle set), n_links (all confirmed links of the node), n_copies (rows of the node).
+    links: a, b, jaccard between nodes, every link; made where it is used, as dense groups have many.
     """
     rows = cut(sketch(docs, id_col, text_col), "sketch")
     nodes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("small", True).alias("small"), F.first("large", True).alias("large")), "nodes")
@@ -501,14 +515,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(placed) if placed.count() <= 1_000_000 else placed, "node").select("node", "component", "block", "lo", "hi", "text")
     dealt = texts.mapInArrow(_dealt, SHARED).repartition(_wide(docs), "component", "x", "y").sortWithinPartitions("component", "x", "y", "block", "node")
-    links = cut(dealt.mapInArrow(_links(threshold), LINKS), "links")
-    comp = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = cut(dealt.mapInArrow(_links(threshold, False), COUNTED), "links")
+    comp = components(counted.where("n_links < 0"))
+    degree = counted.where("n_links >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
     of_node = nodes.select("digest", "node", "copies").join(comp, "node", "left").join(degree, "node", "left")
     out = rows.select("_id", "digest").join(of_node, "digest", "left")
     return (
         out.select("_id", F.coalesce("component", "node", "_id").alias("class_id"), F.coalesce("node", "_id").alias("node"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")),
-        links,
+        dealt.mapInArrow(_links(threshold, True), LINKS),
     )
 
 

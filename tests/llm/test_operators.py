@@ -222,3 +222,22 @@ def test_jaccard_links_members_that_leave_with_a_hub(spark, monkeypatch):
     rows, _ = jaccard_join.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     got = {row["_id"]: row["class_id"] for row in rows.collect()}
     assert all(got[i] == 0 for i in linked) and all(got[i] == i for i in range(300, 360) if i not in linked)
+
+
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STEP", 3000)  # several blocks
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(80):
+        t = list(base[: r.randint(80, 120)])
+        for i in r.sample(range(len(t)), r.randint(0, 3)):
+            t[i] = f"e{r.random()}"
+        texts.append(" ".join(t))
+    texts.append(texts[5])
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    node = [sets.index(s) for s in sets]
+    links = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in set(node) for i in set(node) if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    rows, found = jaccard_join.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {(x["a"], x["b"]): pytest.approx(x["jaccard"]) for x in found.collect()} == links
+    assert {x["_id"]: x["n_links"] for x in rows.collect()} == {i: sum(node[i] in pair for pair in links) for i in range(len(texts))}
