@@ -6,7 +6,9 @@ its rarest word and confirmed against the word spans.
 Fuzzy part: a notice that may have e edits is cut into e+1 pieces; by the pigeonhole
 principle one of them stands unchanged in any match.  Pieces are found by exact byte search,
 and the ``regex`` library's bounded-error matching confirms the text around each hit and
-gives the edits and the span.  A match may differ in at most the notice's own bound.
+gives the edits and the span.  A match may differ in at most the notice's own bound, and not
+in the name that decides the label.  Short forms and the base phrases are notices with small
+bounds; their matches inside one of a longer notice of the label are that notice's.
 
 Defined cases: null and empty texts have 0 words and no labels; overlapping places of a
 phrase all count; a label found in several ways is listed once; texts of any length are
@@ -15,6 +17,7 @@ searched whole; an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,20 +41,40 @@ class Notice:
     label: str
     text: str  # lower case
     edits: int
+    name: str = ""  # the part that decides the label and bears no edit
 
 
 #: Short notices of public licences, and the edits that a match may have.
 NOTICES = (
-    Notice("apache", "licensed under the apache license, version 2.0", 4),
-    Notice("mit", "released under the mit license", 3),
+    Notice("apache", "licensed under the apache license, version 2.0", 4, "apache"),
+    Notice("mit", "released under the mit license", 3, "mit"),
     Notice("mit", "permission is hereby granted, free of charge, to any person obtaining a copy", 7),
-    Notice("gpl", "under the terms of the gnu general public license", 4),
+    Notice("gpl", "under the terms of the gnu general public license", 4, "gnu"),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("mpl", "subject to the terms of the mozilla public license", 4),
-    Notice("cc", "licensed under a creative commons attribution", 4),
+    Notice("mpl", "subject to the terms of the mozilla public license", 4, "mozilla"),
+    Notice("cc", "licensed under a creative commons attribution", 4, "creative commons"),
+    Notice("gpl", "licensed under the gnu general public license", 4, "gnu"),
+    Notice("cc", "licensed under cc by", 2, "cc by"),
+    Notice("cc", "licensed under cc-by", 2, "cc-by"),
+    Notice("gpl", "gnu general public license", 2, "gnu"),
+    Notice("gpl", "general public license", 1, "general public"),
+    Notice("apache", "apache license", 1, "apache"),
+    Notice("mit", "mit license", 1, "mit"),
 )
 
 
+def pattern_of(notice: Notice) -> regex.Pattern:
+    """The notice with edits around its name; each side may have all of them, so their sum is still to be checked."""
+    side = lambda t: f"(?:{regex.escape(t, special_only=True)}){{e<={notice.edits}}}" if t else ""
+    if not notice.name:
+        return regex.compile(f"(?b){side(notice.text)}".encode())
+    before, after = notice.text.split(notice.name, 1)
+    # a whole word, unless the space to the notice's own next word is what was lost
+    left = rf"(?:(?<![0-9a-z\x80-\xff])|(?<={before.split()[-1]}))" if before.split() else r"(?<![0-9a-z\x80-\xff])"
+    right = rf"(?:(?![0-9a-z\x80-\xff])|(?={after.split()[0]}))" if after.split() else r"(?![0-9a-z\x80-\xff])"
+    return regex.compile(f"(?b){side(before)}{left}{regex.escape(notice.name, special_only=True)}{right}{side(after)}".encode())
+
+
 def pieces(text: bytes, n: int) -> list[tuple[int, bytes]]:
     """text in n runs of about equal length, with their starts."""
     cuts = [len(text) * i // n for i in range(n + 1)]
@@ -68,7 +91,8 @@ def finds(data: bytes, what: bytes) -> Iterator[int]:
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: tuple[Notice, ...] = NOTICES):
         self.phrases = [([w.encode() for w in p.split()], label) for p, label in phrases.items()]
-        self.notices = [(n, pieces(n.text.encode(), n.edits + 1), regex.compile(rf"(?b)(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}".encode())) for n in notices]
+        by_size = sorted(notices, key=lambda n: -len(n.text))
+        self.notices = [(n, pieces(n.text.encode(), n.edits + 1), pattern_of(n)) for n in by_size]
 
     def exact(self, data: bytes, start: np.ndarray, end: np.ndarray, doc_first: np.ndarray) -> list[tuple[int, int, str]]:
         """(word number in the chunk, document, label) of each place of a phrase."""
@@ -89,21 +113,33 @@ class Scanner:
     def fuzzy(self, data: bytes, off: np.ndarray) -> list[tuple[int, int, int, str, int, float]]:
         """(document, start byte, end byte, label, edits, score) of the matches; spans of a notice don't overlap."""
         out = []
+        longer: dict[str, list[tuple[list[int], list[int]]]] = {}  # per label, the spans of each notice so far
         for notice, parts, pattern in self.notices:
             size, done = len(notice.text), -1
+            starts: list[int] = []
+            ends: list[int] = []
             near = sorted({at - a for a, piece in parts for at in finds(data, piece)})
             for at in near:
                 doc = int(np.searchsorted(off, max(at, 0), "right")) - 1
                 # the piece, not the notice's guessed start, decides the text it stands in
-                lo, hi = max(at - notice.edits, done, 0), min(at + size + notice.edits, len(data))
+                lo, hi = max(at - notice.edits, done, 0), min(at + size + notice.edits + 1, len(data))  # one byte more shows where a name ends
                 if hi <= lo or at + size <= done:
                     continue
                 for d in range(max(doc, 0), min(int(np.searchsorted(off, hi, "left")), len(off) - 1)):
                     a, b = max(lo, int(off[d])), min(hi, int(off[d + 1]))
-                    if b - a >= size - notice.edits and (m := pattern.search(data, a, b)):
+                    base = a if a == off[d] else 0  # the text before ends no word of this one
+                    if b - a >= size - notice.edits and (m := pattern.search(data[a:b]) if base else pattern.search(data, a, b)):
+                        x, y = m.start() + base, m.end() + base
                         edits = sum(m.fuzzy_counts)
-                        out.append((d, m.start(), m.end(), notice.label, edits, 1 - edits / size))
-                        done = max(done, m.end())
+                        if edits > notice.edits:
+                            continue
+                        done = max(done, y)
+                        if any((k := bisect_right(own, x)) and to[k - 1] >= y for own, to in longer.get(notice.label, ())):
+                            continue
+                        starts.append(x)
+                        ends.append(y)
+                        out.append((d, x, y, notice.label, edits, 1 - edits / size))
+            longer.setdefault(notice.label, []).append((starts, ends))
         return out
 
 

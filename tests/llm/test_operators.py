@@ -241,3 +241,33 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     rows, found = jaccard_join.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert {(x["a"], x["b"]): pytest.approx(x["jaccard"]) for x in found.collect()} == links
     assert {x["_id"]: x["n_links"] for x in rows.collect()} == {i: sum(node[i] in pair for pair in links) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(
+    ("text", "label", "edits"),
+    [
+        ("Licensed under CC BY-NC 4.0.", "cc", 0),
+        ("licensd under CC-BY-4.0", "cc", 1),
+        ("This work is licensed under the GNU General Public Licence, version 3.", "gpl", 1),
+        ("This work is licensed under the GNU Generl Public License, version 3.", "gpl", 1),
+        ("the GNU Generl Public License", "gpl", 1),
+        ("an Apache Licence", "apache", 1),
+        ("the MIT Licence", "mit", 1),
+        ("released under themit license", "mit", 1),
+        ("released under the bsd license", None, 0),
+        ("released under the permit license", None, 0),
+        ("released under the mat license", None, 0),
+        ("mit Lizenz, submit licenses", None, 0),
+    ],
+)
+def test_license_short_forms_and_names(text, label, edits):
+    data = f"x. {text} y".lower().encode()
+    found = license_scan.Scanner().fuzzy(data, np.array([0, len(data)]))
+    assert [(f[3], f[4]) for f in found] == ([(label, edits)] if label else [])
+
+
+def test_license_names_end_with_their_text():
+    data = b"xmit licence" + b"licensed under cc by" + b"e"
+    found = license_scan.Scanner().fuzzy(data, np.array([0, 1, 12, 32, 33]))
+    assert sorted((f[0], f[3]) for f in found) == [(1, "mit"), (2, "cc")]
+    assert not license_scan.Scanner().fuzzy(b"llicensed  under cc bye", np.array([0, 23]))
