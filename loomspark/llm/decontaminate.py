@@ -19,8 +19,8 @@ The index holds up to INDEX_ITEMS items; more items are taken in several passes,
 receive does not grow with the benchmark.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than five words
-have one shingle; repeated items each report; a text that matches an item in several passages
-reports the best; ties go to the earlier passage; an empty table on either side gives no
+have one shingle; repeated items each report; a text that matches an item in several verified
+passages reports the best; ties go to the earlier passage; an empty table on either side gives no
 rows; other columns play no part.
 """
 
@@ -57,10 +57,20 @@ def _set(h: np.ndarray) -> np.ndarray:
     return np.unique(shingles(h, np.array([0, len(h)]), SHINGLE)[0])
 
 
-def _share(part: tuple[int, np.ndarray], near: np.ndarray) -> float:
-    """The share of a part's shingles that the words near a passage have; a short part is one run of words."""
+def _share(part: tuple[int, np.ndarray], near: np.ndarray, grams: dict[int, np.ndarray]) -> float:
+    """The share of a part's shingles that the words near a passage have; a short part is one run of words.
+
+    grams keeps the runs of near's words by their length.
+    """
     k, own = part
-    return len(np.intersect1d(own, np.unique(chain(near, k)), assume_unique=True)) / len(own) if len(own) else 1.0
+    if not len(own):
+        return 1.0
+    if k not in grams:
+        grams[k] = np.sort(chain(near, k))
+    have = grams[k]
+    if not len(have):
+        return 0.0
+    return int((have[np.minimum(np.searchsorted(have, own), len(have) - 1)] == own).sum()) / len(own)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -117,8 +127,8 @@ class Index:
         flat = [x for t in range(len(df)) if self.essential[t] for x in sorted(in_block[t])]
         self.post_block, self.post_max = np.array([b for b, _ in flat], np.int64), np.array([s for _, s in flat])
 
-    def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-        """(text, item number, score, question share, answer share) of the verified items."""
+    def search(self, buf: np.ndarray, off: np.ndarray, question: float, answer: float) -> list[tuple[int, int, float, float, float]]:
+        """(text, item number, score, question share, answer share) of the items, each by its best verified passage."""
         if not len(self.terms) or not len(buf):
             return []
         start, end, first = spans(buf, off, ALNUM_WORDS)
@@ -163,15 +173,15 @@ class Index:
             if seen[0] != w:
                 x, y = np.searchsorted(hit, [lo, hi])
                 seen = (w, set(term[x:y].tolist()))
-            near = None
+            near, grams = None, {}
             for i in range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids))):
                 s = sum(v for t, v in self.impact[i].items() if t in seen[1])
                 if s < self.threshold - 1e-9 or ((d, i) in out and out[d, i][0] >= s):
                     continue
                 if near is None:
                     near = h[max(int(first[d]), lo - step) : min(hi + step, int(first[d + 1]))]
-                q, a = _share(self.question[i], near), _share(self.answer[i], near)
-                if (d, i) not in out or s > out[d, i][0]:
+                q = _share(self.question[i], near, grams)
+                if q >= question and (a := _share(self.answer[i], near, grams)) >= answer:
                     out[d, i] = (s, q, a)
         return [(d, i, *v) for (d, i), v in sorted(out.items())]
 
@@ -198,7 +208,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             own = index.value
             for batch in batches:
                 for i, _, buf, off in chunks(batch.column(1)):
-                    hits = [(d, own.ids[k], s, q, a) for d, k, s, q, a in own.search(buf, off) if q >= question and a >= answer]
+                    hits = [(d, own.ids[k], s, q, a) for d, k, s, q, a in own.search(buf, off, question, answer)]
                     if hits:
                         d, *cols = zip(*hits, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + x for x in d])), *map(pa.array, cols)], ["_id", "item_id", "score", "question_share", "answer_share"])

@@ -271,3 +271,13 @@ def test_license_names_end_with_their_text():
     found = license_scan.Scanner().fuzzy(data, np.array([0, 1, 12, 32, 33]))
     assert sorted((f[0], f[3]) for f in found) == [(1, "mit"), (2, "cc")]
     assert not license_scan.Scanner().fuzzy(b"llicensed  under cc bye", np.array([0, 23]))
+
+
+def test_decontamination_verifies_every_passage(spark):
+    r = random.Random(5)
+    item = [f"q{i}" for i in range(20)]
+    scattered = r.sample(item, 20)
+    text = " ".join(scattered) + " " + " ".join(f"f{i}" for i in range(100)) + " " + " ".join(item)
+    items = [(1, " ".join(item[:15]) + ". " + " ".join(item[15:]) + ".")] + [(k, " ".join(f"i{k}x{i}" for i in range(20)) + ".") for k in range(2, 12)]
+    docs, bench = spark.createDataFrame([(7, text), (8, " ".join(scattered))], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert [(x["_id"], x["item_id"], x["question_share"], x["answer_share"]) for x in decontaminate.contaminated(docs, bench).collect()] == [(7, 1, 1.0, 1.0)]
