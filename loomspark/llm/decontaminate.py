@@ -16,7 +16,8 @@ question (all but its last sentence) and of its answer (the last sentence; of a
 sentence, its last third of words) that the text has in the passage's neighbourhood.
 
 The index holds up to INDEX_ITEMS items; more items are taken in several passes, so what tasks
-receive does not grow with the benchmark.
+receive does not grow with the benchmark.  What BM25 weighs by (number, mean and longest length of
+the items, document frequencies) and the window are counted over all items first.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than five words
 have one shingle; repeated items each report; a text that matches an item in several verified
@@ -83,8 +84,27 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(w[:-n]), " ".join(w[-n:])
 
 
+class Stats:
+    """Over all items with words: their number, words, longest length, and in how many each term is."""
+
+    def __init__(self, parts: Iterator[list[tuple[int, str]]] | list[list[tuple[int, str]]]):
+        self.n = self.words = self.longest = 0
+        self.terms, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for items in parts:
+            words = [w for w in _words([t for _, t in items]) if len(w)]
+            self.n += len(words)
+            self.words += sum(map(len, words))
+            self.longest = max([self.longest, *map(len, words)])
+            own, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, words)]), return_counts=True)
+            self.terms, at = np.unique(np.concatenate([self.terms, own]), return_inverse=True)
+            self.count = np.bincount(at, np.concatenate([self.count, count]), len(self.terms)).astype(np.int64)
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.count[np.searchsorted(self.terms, terms)]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, stats: Stats):
         words = _words([t for _, t in items])
         order = sorted((i for i in range(len(items)) if len(words[i])), key=lambda i: words[i][0])
         self.ids = [items[i][0] for i in order]
@@ -92,11 +112,11 @@ class Index:
         self.threshold = threshold
         halves = [split_item(items[i][1]) for i in order]
         self.question, self.answer = ([(min(SHINGLE, len(h)), _set(h)) for h in _words([x[k] for x in halves])] for k in (0, 1))
-        n = len(words)
-        self.window = max(32, 2 * max(map(len, words), default=0))
-        df = Counter(t for w in words for t in np.unique(w).tolist())
-        mean = sum(map(len, words)) / max(1, n)
-        self.terms = np.array(sorted(df), np.uint64)
+        n = stats.n
+        self.window = max(32, 2 * stats.longest)
+        self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+        df = dict(zip(self.terms.tolist(), stats.of(self.terms).tolist(), strict=True))
+        mean = stats.words / max(1, n)
         self.impact: list[dict[int, float]] = []
         number = {t: i for i, t in enumerate(sorted(df))}
         for w in words:
@@ -109,7 +129,7 @@ class Index:
             for t, s in own.items():
                 best[t, i // BLOCK] = max(best[t, i // BLOCK], s)
         # non-essential terms: the most frequent ones, while no block's bound for them passes half the threshold
-        self.blocks = -(-n // BLOCK)
+        self.blocks = -(-len(words) // BLOCK)
         self.rest = np.zeros(self.blocks)
         self.essential = np.ones(len(df), bool)
         in_block: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -201,8 +221,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     out = spark.createDataFrame([], HITS)
+    stats = Stats(_shards(items, item_col, item_text))
     for part in _shards(items, item_col, item_text):
-        index = spark.sparkContext.broadcast(Index(part, threshold))  # at most INDEX_ITEMS items
+        index = spark.sparkContext.broadcast(Index(part, threshold, stats))  # at most INDEX_ITEMS items
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value

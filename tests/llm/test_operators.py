@@ -281,3 +281,17 @@ def test_decontamination_verifies_every_passage(spark):
     items = [(1, " ".join(item[:15]) + ". " + " ".join(item[15:]) + ".")] + [(k, " ".join(f"i{k}x{i}" for i in range(20)) + ".") for k in range(2, 12)]
     docs, bench = spark.createDataFrame([(7, text), (8, " ".join(scattered))], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert [(x["_id"], x["item_id"], x["question_share"], x["answer_share"]) for x in decontaminate.contaminated(docs, bench).collect()] == [(7, 1, 1.0, 1.0)]
+
+
+def test_decontamination_weighs_by_all_items(spark, monkeypatch):
+    r = random.Random(6)
+    items = [(i, " ".join(r.choice(WORDS[: 20 + 10 * i]) for _ in range(r.randint(8, 30))) + ".") for i in range(25)] + [(25, "w1 w2 w3 w4 u5 u6.")]
+    texts = [(i, " ".join(r.sample(t.split(), len(t.split())) if i % 2 else t.split()[3:])) for i, t in items]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+
+    def hits():
+        return {(x["_id"], x["item_id"]): pytest.approx(x["score"]) for x in decontaminate.contaminated(docs, bench, threshold=0.3, question=0.0, answer=0.0).collect()}
+
+    whole = hits()
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 5)
+    assert len(whole) > 25 and hits() == whole
