@@ -9,7 +9,8 @@ the buckets of the (coordinate, token) pairs that the bucket's own random choice
 coordinate is drawn with probability 1 / (threshold * T), so a pair at the threshold is expected
 to stay together in one child.  Buckets of up to BUCKET nodes are compared at once on short
 signatures, and give out a heaviest spanning forest of their candidates.  The number of runs
-follows from the target recall and the depth of the recursion.
+follows from the target recall and the depth of the recursion; where it went deeper than was
+reckoned with, the runs that are missing for that depth follow.
 
 Dense groups.  Buckets above BUCKET name a hub (a member that a hash draws, another one in each
 bucket).  Each member meets the hub; who the signatures put well within the threshold (SURE) leaves
@@ -136,8 +137,9 @@ def _children(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.
     return row, mix(mix(paths[row] ^ _COORD[coord]) + sig[row, coord].astype(np.uint64))
 
 
-def _start(runs: int, threshold: float):
-    roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED270B))
+def _start(first: int, last: int, threshold: float):
+    """Members of the first buckets of the runs from first up to last."""
+    roots = mix(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x51ED270B))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,22 +290,29 @@ def _by_bucket(rows: DataFrame, wide: int) -> DataFrame:
 
 def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> DataFrame:
     """Pairs that connect all nodes which candidates connect.  tokens: see TOKENS."""
-    members = cut(tokens.mapInArrow(_start(runs_for(recall, depth), threshold), MEMBERS), "members")
-    found: list[DataFrame] = []
-    while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64("key", F.shiftright("ref", 1))).alias("hub")).where("size > 1")
-        sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
-        few = sized.where(F.col("size") <= BUCKET)
-        found.append(_by_bucket(few.join(tokens, "ref").select("key", "ref", "tokens"), _wide(tokens)).mapInArrow(_compare(threshold), PAIRS))
-        many = sized.where(F.col("size") > BUCKET)
-        if many.isEmpty():
-            return cut(_union(found).distinct(), "pairs")
-        tokens = cut(tokens.join(many.select("ref").distinct(), "ref", "left_semi"), "tokens")  # deeper members come from these
-        hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
-        met = cut(many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens"), "met")
-        found.append(met.mapInArrow(_meet(threshold, "pairs"), PAIRS))
-        rest = met.mapInArrow(_meet(threshold, "rest"), MEMBERS)
-        members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
+    every, found = tokens, []
+    done, wanted = 0, runs_for(recall, depth)
+    while done < wanted:
+        tokens, level = every, 0
+        members = cut(every.mapInArrow(_start(done, wanted, threshold), MEMBERS), "members")
+        while True:
+            level += 1
+            sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("ref", F.xxhash64("key", F.shiftright("ref", 1))).alias("hub")).where("size > 1")
+            sized = cut(members.join(sizes, "key").select("key", "ref", "size", "hub"), "buckets")
+            few = sized.where(F.col("size") <= BUCKET)
+            found.append(_by_bucket(few.join(tokens, "ref").select("key", "ref", "tokens"), _wide(tokens)).mapInArrow(_compare(threshold), PAIRS))
+            many = sized.where(F.col("size") > BUCKET)
+            if many.isEmpty():
+                break
+            tokens = cut(tokens.join(many.select("ref").distinct(), "ref", "left_semi"), "tokens")  # deeper members come from these
+            hub = tokens.select(F.col("ref").alias("hub"), F.col("tokens").alias("hub_tokens"))
+            met = cut(many.join(tokens, "ref").join(hub, "hub").select("key", "ref", "hub", "tokens", "hub_tokens"), "met")
+            found.append(met.mapInArrow(_meet(threshold, "pairs"), PAIRS))
+            rest = met.mapInArrow(_meet(threshold, "rest"), MEMBERS)
+            members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
+        depth = max(depth, level)
+        done, wanted = wanted, max(wanted, runs_for(recall, depth))
+    return cut(_union(found).distinct(), "pairs")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -295,3 +295,16 @@ def test_decontamination_weighs_by_all_items(spark, monkeypatch):
     whole = hits()
     monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 5)
     assert len(whole) > 25 and hits() == whole
+
+
+def test_jaccard_runs_follow_the_depth_reached(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 10)
+    calls = []
+    start = jaccard_join._start
+    monkeypatch.setattr(jaccard_join, "_start", lambda *a: calls.append(a) or start(*a))
+    r = np.random.default_rng(2)
+    same = r.integers(0, 2**32, 64, dtype=np.uint32)
+    rows = [(2 * i, bytearray(np.where(r.random(64) < 0.3, r.integers(0, 2**32, 64, dtype=np.uint32), same).astype(np.uint32).tobytes())) for i in range(60)]
+    jaccard_join.candidates(spark.createDataFrame(rows, jaccard_join.TOKENS), 0.8, 0.9, depth=1)
+    assert len(calls) > 1 and [c[0] for c in calls] == [0] + [c[1] for c in calls[:-1]]
+    assert calls[0][1] == jaccard_join.runs_for(0.9, 1) < calls[-1][1]
