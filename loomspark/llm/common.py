@@ -2,17 +2,18 @@
 
 The kernel works on Arrow string buffers.  A batch is cut into chunks of about half a
 megabyte of text (a longer text is a chunk of its own), words are found as byte spans
-with numpy, and each word gets a 64-bit polynomial hash.  No Python object is made per
+with numpy, and each word gets a 64-bit hash, eight bytes at a time.  No Python object is made per
 word, so a word costs some tens of nanoseconds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from itertools import chain as chain_lists
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -87,22 +90,6 @@ ALNUM_WORDS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_rng = np.random.default_rng(20240607)
-_BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_VALUE_LOWER = _BYTE_VALUE[LOWER]
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64)
-
-
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        out = np.full(max(n, 256), _BASE, np.uint64)
-        out[0] = 1
-        _powers = np.multiply.accumulate(out)
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))
@@ -151,20 +138,49 @@ def spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     return start, end, np.searchsorted(start, off)
 
 
+#: Bytes of a piece that belong to a word of so many more bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_TOP_BYTE, _SIZE, _NEXT = np.uint64(56), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed by BLAKE2b, a piece at a time would cost a step for each eight bytes of the longest.
+LONG_WORD = 2048
+
+
+def pieces_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as numbers (zeros follow the end)."""
+    padded = np.zeros((len(buf) + 23) // 8 * 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded.view("<u8"), (len(buf) + 8,), (1,), writeable=False)
+
+
+def hash_pieces(piece: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words, and their first pieces.
+
+    Words of up to seven bytes have hashes of their own; longer ones go through a mix of all
+    bits for each eight bytes, so no arithmetic pattern of letters meets another one's hash.
+    """
+    first = piece[start] & _MASK[np.minimum(size, 8)]
+    h = mix(first ^ np.where(size < 8, size.astype(np.uint64) << _TOP_BYTE, size.astype(np.uint64) * _SIZE))
+    at, left = np.flatnonzero(size > 8), 8
+    long = at[size[at] > LONG_WORD]
+    if len(long):
+        at = at[size[at] <= LONG_WORD]
+        for i in long.tolist():
+            n = int(size[i]) // 8 * 8
+            raw = np.append(piece[start[i] : start[i] + n : 8], piece[start[i] + n] & _MASK[size[i] - n])
+            h[i] = np.frombuffer(hashlib.blake2b(raw.astype("<u8").tobytes() + int(size[i]).to_bytes(8, "little"), digest_size=8).digest(), "<u8")[0]
+    while len(at):
+        rest = piece[start[at] + left] & _MASK[np.minimum(size[at] - left, 8)]
+        h[at] = mix((h[at] + _NEXT) ^ mix(rest + _SIZE))
+        left += 8
+        at = at[size[at] > left]
+    return h, first
+
+
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans, which are in order and do not overlap."""
+    """64-bit hashes of the byte spans."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    size = end - start
-    at = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=at[1:])
-    shift = np.repeat(start - at, size)
-    pos = np.arange(len(shift)) + shift
-    value = (_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[buf[pos]]
-    pos -= np.repeat(start, size)
-    value *= _pow(int(size.max()))[pos]
-    h = np.add.reduceat(value, at)
-    return mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return hash_pieces(pieces_of(LOWER[buf] if lower else buf), start, end - start)[0]
 
 
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -211,44 +227,108 @@ def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of words by their hash, in sorted arrays; of more than `words` words, half of them, last used, stay.
+    """Ids of words in an open hash table that is emptied before a call once it holds more than ``words`` words.
 
-    Words last used in one call go or stay together, so as many as one call brings may be kept beyond `words`.
+    A word is taken for a kept one only if its bytes are the same, so equal hashes do no harm.
     """
 
+    PROBES = 8
+
     def __init__(self, kind: type, words: int):
-        self.words, self.clock = words, 0
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
-        self.flat = np.zeros(0, kind)
-
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of the keys (in order, distinct) that are not kept; the others are kept until the next call."""
-        self.clock += 1
-        if not len(self.keys):
-            return np.arange(len(keys))
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        have = self.keys[place] == keys
-        self.used[place[have]] = self.clock
-        return np.flatnonzero(~have)
-
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Take in the missing keys, in order."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        place = np.searchsorted(self.keys, keys)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter(chain_lists.from_iterable(ids), self.flat.dtype, int(size.sum()))])
-        self.keys, self.at, self.size, self.used = (np.insert(old, place, new) for old, new in ((self.keys, keys), (self.at, at), (self.size, size), (self.used, self.clock)))
-        if len(self.keys) > self.words:
-            k = len(self.keys) - self.words // 2
-            keep = self.used >= np.partition(self.used, k)[k]
-            self.keys, at, self.size, self.used = self.keys[keep], self.at[keep], self.size[keep], self.used[keep]
-            self.flat, self.at = self.flat[runs(at, self.size)], np.cumsum(self.size) - self.size
-
-    def expand(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the kept words keys[back], and where each word's ids begin (with the end)."""
-        place = np.searchsorted(self.keys, keys)
-        at, count = self.at[place], self.size[place][back]
+        self.kind, self.words = kind, words
+        self.bits = max(10, int(4 * words - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.n_ids = self.n_pieces = 0
+        self.table = np.full((1 << self.bits) + self.PROBES, -1, np.int32)
+        self.key, self.first, self.rest = (np.zeros(1024, np.uint64) for _ in range(3))
+        self.tag, self.at, self.size, self.rest_at = (np.zeros(1024, np.int64) for _ in range(4))
+        self.flat = np.zeros(1024, self.kind)
+
+    def _room(self, names: tuple[str, ...], n: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            if len(old) < n:
+                new = np.zeros(max(n, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.table[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.key[out] != h))
+        for k in range(1, self.PROBES):
+            if not len(open_):
+                break
+            e = self.table[slot[open_] + k]
+            out[open_] = e
+            open_ = open_[(e >= 0) & (self.key[e] != h[open_])]
+        out[open_] = -1
+        return out
+
+    def _insert(self, e: np.ndarray, h: np.ndarray) -> None:
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        for k in range(self.PROBES):
+            free = self.table[slot + k] < 0
+            self.table[slot[free] + k] = e[free]
+            lost = self.table[slot + k] != e
+            e, slot = e[lost], slot[lost]
+
+    def _add(self, piece: np.ndarray, h: np.ndarray, first: np.ndarray, start: np.ndarray, tag: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        e = np.arange(self.n, self.n + len(h))
+        more = np.maximum((tag >> 1) - 1, 0) >> 3
+        own = int(more.sum())
+        self._room(("key", "first", "tag", "at", "size", "rest_at"), self.n + len(h))
+        self._room(("flat",), self.n_ids + len(ids))
+        self._room(("rest",), self.n_pieces + own)
+        self.key[e], self.first[e], self.tag[e], self.size[e] = h, first, tag, count
+        self.at[e] = self.n_ids + np.cumsum(count) - count
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.rest_at[e] = self.n_pieces + np.cumsum(more) - more
+        self.rest[self.n_pieces : self.n_pieces + own] = self._rest(piece, start, tag, more)
+        self.n, self.n_ids, self.n_pieces = self.n + len(h), self.n_ids + len(ids), self.n_pieces + own
+        return e
+
+    @staticmethod
+    def _rest(piece: np.ndarray, start: np.ndarray, tag: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """All but the first pieces of the words, one word after another."""
+        k = runs(np.zeros(len(more), np.int64), more)
+        left = np.repeat((tag >> 1) - 8, more) - 8 * k
+        return piece[np.repeat(start + 8, more) + 8 * k] & _MASK[np.minimum(left, 8)]
+
+    def expand(self, piece: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray | None, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, and where each word's begin (with the end).
+
+        mark: a flag that tells words of equal bytes apart.  encode: the ids of the words at the
+        given positions, one after another, and their numbers.
+        """
+        if self.n > self.words:
+            self.clear()
+        h, first = hash_pieces(piece, start, size)
+        tag = size.astype(np.int64) << 1
+        if mark is not None:
+            tag |= mark
+            h = h ^ np.where(mark, _NEXT, np.uint64(0))
+        e = self._find(h)
+        new = np.flatnonzero(e < 0)
+        if len(new):
+            keys, where, back = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
+            own = self._add(piece, keys, first[where], start[where], tag[where], *encode(where))
+            self._insert(own, keys)
+            e[new] = own[back]
+        wrong = (self.tag[e] != tag) | (self.first[e] != first)
+        long = np.flatnonzero((tag > 17) & ~wrong)
+        if len(long):
+            more = ((tag[long] >> 1) - 1) >> 3
+            same = self._rest(piece, start[long], tag[long], more) == self.rest[runs(self.rest_at[e[long]], more)]
+            wrong[long] = ~np.logical_and.reduceat(same, np.cumsum(more) - more)
+        if wrong.any():  # words whose hash is another one's
+            at = np.flatnonzero(wrong)
+            e[at] = self._add(piece, h[at], first[at], start[at], tag[at], *encode(at))
+        count = self.size[e]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        return self.flat[runs(at[back], count)], total
+        return self.flat[runs(self.at[e], count)], total

@@ -1,293 +1,407 @@
 """Adaptive context-mixing range coder for token ids, in blocks.
 
-Each block is coded on its own: models start anew, and a CRC-32 of the ids guards it.  For a
-token the models predict
-- order 2: the id that last followed the hash of the two ids before,
-- order 1: the id that last followed the id before,
-- order 0: whether ids are small or large.
-"Is it the order-2 id?", then "is it the order-1 id?", then "is it small?" are coded as binary
-decisions; then an id that no order predicted follows in the plain bits of its size.
-The probability of a decision mixes two adaptive estimates (by the prediction's confidence, and
-by the outcomes before) in the logistic domain with weights that learn.  All arithmetic is on
-integers and tables, so any machine decodes what another one coded.
-
-A range coder carries (low, high) of 48 bits and gives out 16 bits at a time.  Blocks don't depend
-on one another, so many are coded side by side, a numpy lane each; a token costs a few
-hundred nanoseconds without compiled code.
+Each block is coded on its own: its model starts anew, and a CRC-32 of the ids guards it.  A model
+predicts the next id by
+- order 2: the id that lately followed the two ids before (a hashed table),
+- order 1: the id that lately followed the id before,
+- order 0: how often each id of the block has come, as a cumulative table over all ids seen.
+How likely the id of order 2 and, failing it, that of order 1 is right depends on how often each
+was right lately, on whether they agree, and on how frequent order 0 holds them for.  Each of these
+views keeps an adaptive estimate; a mixer adds them in the logistic domain with weights that
+learn, and what the joint context has seen so far corrects the sum.  One interval of the range coder
+then codes an id whole: the order-2 id, the order-1 id, or an id by its order-0 share of what is left.
+An id that the block has not seen is escaped, and 16 or 32 evenly likely bits follow.
+
+A block is cut into lanes of equal length that share the model and are coded side by side, so a step
+of the coder is a numpy call over all lanes; what the lanes of a step learn is known from the next
+step on.  Estimates, weights and shares are renewed after a step at first, later after up to
+EVERY steps.  All arithmetic is on integers and tables, so any machine decodes what another coded.
+
+The range coder keeps (low, range) of 64 bits for a lane and gives out 16 bits when the range falls
+below 2**32; where these are not settled by then, the larger part of the range is kept.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1024  # ids of a block at most; fewer where there are few ids, so that lanes stay full
-LEAST_BLOCK = 256
-LANES = 4096
-TABLE = 10  # bits of the context tables
-_TOP = np.uint64(0xFFFF00000000)
-_MASK = np.uint64(0xFFFFFFFFFFFF)
-_S16 = np.uint64(16)
+BLOCK = 1 << 22  # ids of a block at most
+LANES = 8192
+LANE = 256  # ids of a lane at least, if the block has as many
+EVERY = 16
+BITS1, BITS2 = 16, 18  # of the tables of order 1 and order 2
+SHARE = 16  # bits of the order-0 shares
+SEEN = 1 << 15  # ids with an order-0 share at most; others are escaped
+LEAST = 32  # of 4096, the smallest part that an outcome gets
+
+_U = np.uint64
+_TOTAL, _16, _32, _48 = _U(12 + SHARE), _U(16), _U(32), _U(48)
+_BOT, _LOW48 = _U(1 << 32), _U((1 << 48) - 1)
 
 # logistic tables in fixed point: 12-bit probabilities, domain -2047..2047 (8 bits after the point)
 _x = np.arange(-2048, 2048) / 256
-_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-_x))), 1, 4095).astype(np.int32)
-_STRETCH = np.clip(np.searchsorted(_SQUASH, np.arange(4096)), 0, 4095).astype(np.int32) - 2048
-
-
-#: Plain bits of a small id.
-SMALL_BITS = 10
-
-
-class _Decision:
-    """Adaptive estimates and weights of one kind of decision, for all lanes."""
-
-    def __init__(self, lanes: int, contexts: int):
-        self.base_a = np.arange(lanes) * contexts
-        self.base_b = np.arange(lanes) * 16
-        self.a = np.full(lanes * contexts, 1 << 15, np.int32)
-        self.b = np.full(lanes * 16, 1 << 15, np.int32)
-        self.wa = np.full(lanes, 1 << 15, np.int32)
-        self.wb = np.full(lanes, 1 << 15, np.int32)
-        self.history = np.zeros(lanes, np.int64)
-
-    def predict(self, context: np.ndarray) -> np.ndarray:
-        """12-bit probabilities of a 1."""
-        self.ia, self.ib = self.base_a + context, self.base_b + self.history
-        self.pa, self.pb = self.a[self.ia], self.b[self.ib]
-        self.sa, self.sb = _STRETCH[self.pa >> 4], _STRETCH[self.pb >> 4]
-        dot = (self.sa * (self.wa >> 4) + self.sb * (self.wb >> 4)) >> 12
-        np.minimum(dot, 2047, out=dot)
-        np.maximum(dot, -2047, out=dot)
-        dot += 2048
-        self.p = _SQUASH[dot]
-        return self.p
-
-    def update(self, bit: np.ndarray, active: np.ndarray) -> None:
-        """Learn from the outcome in the active lanes."""
-        on, one = active.astype(np.int32), bit.astype(np.int32)
-        goal = one * 65535
-        step = goal - self.pa
-        step >>= 4
-        step *= on
-        step += self.pa
-        self.a[self.ia] = step
-        goal -= self.pb
-        goal >>= 5
-        goal *= on
-        goal += self.pb
-        self.b[self.ib] = goal
-        err = one << 12
-        err -= self.p
-        err *= on
-        for w, s in ((self.wa, self.sa), (self.wb, self.sb)):
-            s *= err
-            s >>= 10
-            w += s
-            np.minimum(w, 1 << 18, out=w)
-            np.maximum(w, -(1 << 18), out=w)
-        self.history = np.where(active, (self.history * 2 + bit) & 15, self.history)
+_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-_x))), 1, 4095).astype(np.int64)
+_STRETCH = np.clip(np.searchsorted(_SQUASH, np.arange(4096)), 0, 4095).astype(np.int64) - 2048
+
+CELLS = (8, 8, 2, 4, 4)  # confidence of order 2, of order 1, agreement, order-0 rank of either id
+N_CELLS = 8 * 8 * 2 * 4 * 4
+
+
+class _Mixer:
+    """The probability of one outcome in each cell of CELLS, from the views of the three orders."""
+
+    VIEWS = ((1, 3, 4), (0, 3, 4), (0, 1))  # what is summed over: order 2, order 1 and order 0 each keep their own part
+
+    def __init__(self):
+        self.hits, self.all = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+        self.weights = np.full(3, 1 << 15, np.int64)
+        self.renew()
+
+    def renew(self) -> None:
+        views = []
+        for axes in self.VIEWS:
+            h, n = self.hits.sum(axes, keepdims=True), self.all.sum(axes, keepdims=True)
+            views.append(np.broadcast_to(_STRETCH[((2 * h + 1) << 12) // (2 * n + 8)], CELLS))
+        self.views = views
+        dot = sum(int(w) * v for w, v in zip(self.weights, views, strict=True)) >> 16
+        self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        self.p = np.clip((self.mixed * 64 + (self.hits << 12)) // (64 + self.all), 1, 4095)
+
+    def learn(self, hits: np.ndarray, every: np.ndarray) -> None:
+        """Take in the numbers of outcomes in each cell."""
+        hits, every = hits.reshape(CELLS), every.reshape(CELLS)
+        wrong = (hits << 12) - every * self.mixed
+        n = int(every.sum())
+        if n:
+            for i, v in enumerate(self.views):
+                step = int((wrong * v).sum()) // n >> 2
+                self.weights[i] = min(max(int(self.weights[i]) + step, 0), 1 << 17)
+        self.hits += hits
+        self.all += every
+        if self.all.max() > 1 << 16:
+            self.hits >>= 1
+            self.all >>= 1
+        self.renew()
+
+
+#: What becomes of an entry's confidence: [it was wrong, it was right] by confidence; entries below 2 give way when wrong.
+_CHANGE = np.array([[0, 1], [0, 1], [-2, 1], [-2, 1], [-2, 1], [-2, 1], [-2, 1], [-2, 0]], np.int64).ravel()
+_STAYS = np.array([[False, True], [False, True]] + [[True, True]] * 6).ravel()
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.t1 = np.zeros(lanes << TABLE, np.int32)
-        self.t2 = np.zeros(lanes << TABLE, np.int32)
-        self.lane = np.arange(lanes) << TABLE
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
-        self.hit2, self.hit1 = _Decision(lanes, 8), _Decision(lanes, 8)
-        self.size = _Decision(lanes, 2)
-
-    def was_small(self) -> np.ndarray:
-        return (self.p1 < 1 << SMALL_BITS).astype(np.int64)
-
-    def guess(self) -> None:
-        """Set the predictions of order 2 and 1: id and confidence."""
-        h2 = ((self.p2 * 40503 + self.p1 * 60493) >> 3) & ((1 << TABLE) - 1)
-        h1 = (self.p1 * 40503 >> 2) & ((1 << TABLE) - 1)
-        self.i2, self.i1 = self.lane + h2, self.lane + h1
-        self.e2, self.e1 = self.t2[self.i2], self.t1[self.i1]
-        self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
-
-    def learn(self, x: np.ndarray) -> None:
-        """Take in the ids; an id stays predicted while right, and gives way when wrong."""
-        for t, i, e, g in ((self.t2, self.i2, self.e2, self.g2), (self.t1, self.i1, self.e1, self.g1)):
-            conf = e & 7
-            right = g == x
-            keep = right | (conf > 3)
-            t[i] = np.where(keep, g << 3, x << 3) + np.where(right, np.minimum(conf + 1, 7), np.where(conf > 3, conf >> 1, 1))
-        self.p2, self.p1 = self.p1, x
+    """What is known before a step; ids are numbers in order of first appearance, from 1, and 0 is an unseen one.
 
+    An entry of a table is an id times 8 and the confidence in it; -8 is none.
+    """
 
-class _Out:
-    """Coder state of all lanes and their 16-bit output."""
+    def __init__(self, lanes: int):
+        self.t1, self.t2 = np.full(1 << BITS1, -8), np.full(1 << BITS2, -8)
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.hit2, self.hit1 = _Mixer(), _Mixer()
+        self.known = 1
+        self.count, self.rank = np.ones(1024, np.int64), np.zeros(1025, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.missed: list[np.ndarray] = []
+        self.steps, self.next = 0, 1
+        self._renew()
+
+    def _renew(self) -> None:
+        """Shares, ranks and parts for the next steps."""
+        n = min(self.known, SEEN)
+        count = self.count[:n]
+        f = 1 + count * ((1 << SHARE) - n) // int(count.sum())
+        f[: (1 << SHARE) - int(f.sum())] += 1
+        self.sizes, self.f, self.cum = f, f.astype(_U), (np.cumsum(f) - f).astype(_U)
+        self.rank[:n] = np.minimum(np.searchsorted([32, 256, 1024], f, "right"), 3)
+        a = np.clip(self.hit2.p, LEAST, 4096 - 2 * LEAST)
+        b = np.clip((4096 - a) * self.hit1.p >> 12, LEAST, 4096 - LEAST - a)
+        b[:, :, 1] = 0
+        a, b = a.ravel(), b.ravel()
+        self.rest = (4096 - a - b).astype(_U)
+        self.a, self.b, self.ab = (x.astype(_U) << _U(SHARE) for x in (a, b, a + b))
+        self.slots = None
+
+    def predict(self) -> np.ndarray:
+        """Set the ids of order 2 and 1; the cell of each lane."""
+        self.i1 = self.p1 & ((1 << BITS1) - 1)
+        i2 = self.p2 * 40503
+        i2 += self.p1 * 7919
+        i2 &= (1 << BITS2) - 1
+        self.i2 = i2
+        e2, e1 = self.t2[i2], self.t1[self.i1]
+        self.e2, self.e1 = e2, e1
+        self.g2, self.g1 = e2 >> 3, e1 >> 3
+        self.c2, self.c1 = e2 & 7, e1 & 7
+        cell = self.c2 << 3
+        cell |= self.c1
+        cell <<= 1
+        cell += self.g2 == self.g1
+        cell <<= 2
+        cell |= self.rank[self.g2]
+        cell <<= 2
+        cell |= self.rank[self.g1]
+        self.cell = cell
+        return cell
+
+    def learn(self, x: np.ndarray, is2: np.ndarray, is1: np.ndarray, missed: np.ndarray) -> None:
+        """Take in the ids; one that was predicted stays while it is often right.
+
+        is1: the order-1 id is right and not that of order 2.  missed: the numbers that order 0 coded.
+        """
+        key = self.cell << 2
+        key += is2
+        key[is1] += 2
+        self.waiting.append(key)
+        self.missed.append(missed)
+        fresh = x << 3
+        for t, i, e, conf, right in ((self.t2, self.i2, self.e2, self.c2, is2), (self.t1, self.i1, self.e1, self.c1, self.g1 == x)):
+            conf <<= 1
+            conf += right
+            e += _CHANGE[conf]
+            t[i] = np.where(_STAYS[conf], e, fresh)
+        self.p2, self.p1 = self.p1, x
+        self.steps += 1
+        if self.steps == self.next:
+            self.next += min(max(1, self.steps // 4), EVERY)
+            cells = np.bincount(np.concatenate(self.waiting), minlength=4 * N_CELLS).reshape(N_CELLS, 4)
+            self.count[: self.known] += 16 * np.bincount(np.concatenate(self.missed), minlength=self.known)
+            every = cells.sum(1)
+            self.hit2.learn(cells[:, 1], every)
+            apart = (every - cells[:, 1]).reshape(CELLS).copy()
+            apart[:, :, 1] = 0
+            self.hit1.learn(cells[:, 2], apart)
+            self.waiting, self.missed = [], []
+            self._renew()
+
+    def room(self, more: int) -> int:
+        """Number ``more`` new ids; the first number."""
+        first = self.known
+        self.known += more
+        if self.known > len(self.count):
+            self.count = np.append(self.count, np.ones(self.known, np.int64))
+            self.rank = np.append(self.rank, np.zeros(len(self.count) + 1 - len(self.rank), np.int64))
+        return first
+
+    def by_slot(self) -> np.ndarray:
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return self.slots
+
+    def seen(self, x: np.ndarray) -> np.ndarray:
+        """The numbers that have a share; 0 for others."""
+        return x if self.known <= len(self.f) else np.where(x < len(self.f), x, 0)
+
+    def intervals(self, cell: np.ndarray, coded: np.ndarray, is2: np.ndarray, hit: np.ndarray, rest: np.ndarray, ab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's outcome starts and its size; hit: the lanes that order 2 or 1 was right in."""
+        start = self.cum[coded]
+        start *= rest
+        start += ab
+        size = self.f[coded]
+        size *= rest
+        own, first = cell[hit], is2[hit]
+        a = self.a[own]
+        start[hit] = np.where(first, _U(0), a)
+        size[hit] = np.where(first, a, self.b[own])
+        return start, size
+
+    def narrow(self, lanes: int) -> None:
+        self.p1, self.p2 = self.p1[:lanes], self.p2[:lanes]
+
+
+class _Coder:
+    """low and range of all lanes."""
 
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
+
+    def take(self, start: np.ndarray, size: np.ndarray, r: np.ndarray, k: np.ndarray | slice) -> None:
+        self.low[k] += start * r
+        self.range[k] = size * r
+        self._settle(k)
+
+    def _settle(self, k: np.ndarray | slice) -> None:
+        k = np.flatnonzero(self.range < _BOT) if isinstance(k, slice) else k[self.range[k] < _BOT]
+        while len(k):
+            low, size = self.low[k], self.range[k]
+            upto = (_LOW48 + _U(1)) - (low & _LOW48)
+            split = np.flatnonzero(size > upto)
+            if len(split):
+                over = size[split] - upto[split]
+                right = over > upto[split]
+                low[split] += np.where(right, upto[split], _U(0))
+                size[split] = np.where(right, over, upto[split])
+            self._shift(k, low)
+            self.low[k] = low << _16
+            size <<= _16
+            self.range[k] = size
+            k = k[size < _BOT]
+
+
+class _Out(_Coder):
     def __init__(self, lanes: int, steps: int):
-        self.low, self.high = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-        self.words = np.zeros((lanes, steps * 4 + 8), np.uint16)  # a decision gives out one word at most once its range is below 2**32
-        self.at = np.zeros(lanes, np.int64)
-
-    def put(self, bit: np.ndarray, p: np.ndarray, active: np.ndarray) -> None:
-        mid = self.low + ((self.high - self.low) >> np.uint64(12)) * p.astype(np.uint64)
-        self.high = np.where(active & bit, mid, self.high)
-        self.low = np.where(active & ~bit, mid + np.uint64(1), self.low)
-        self.flush()
-
-    def flush(self) -> None:
-        while True:
-            same = np.flatnonzero(((self.low ^ self.high) & _TOP) == 0)
-            if not len(same):
-                return
-            if self.at[same].max() >= self.words.shape[1]:
-                self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
-            self.words[same, self.at[same]] = (self.low[same] >> np.uint64(32)).astype(np.uint16)
-            self.at[same] += 1
-            self.low[same] = (self.low[same] << _S16) & _MASK
-            self.high[same] = ((self.high[same] << _S16) & _MASK) | np.uint64(0xFFFF)
-
-    def finish(self) -> list[bytes]:
-        for shift in (32, 16, 0):  # the whole of low tells the rest apart
-            word = ((self.low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-            if self.at.max() >= self.words.shape[1]:
-                self.words = np.pad(self.words, ((0, 0), (0, 8)))
-            self.words[np.arange(len(self.at)), self.at] = word
-            self.at += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
-
-
-class _In:
-    def __init__(self, streams: list[bytes]):
-        n = len(streams)
-        size = max(map(len, streams)) // 2 + 4
-        self.words = np.zeros((n, size), np.uint64)
-        for i, s in enumerate(streams):
-            self.words[i, : len(s) // 2] = np.frombuffer(s, "<u2")
-        self.low, self.high = np.zeros(n, np.uint64), np.full(n, _MASK)
-        self.code = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << _S16) | self.words[:, 2]
-        self.at = np.full(n, 3)
-
-    def get(self, p: np.ndarray, active: np.ndarray) -> np.ndarray:
-        mid = self.low + ((self.high - self.low) >> np.uint64(12)) * p.astype(np.uint64)
-        bit = self.code <= mid
-        self.high = np.where(active & bit, mid, self.high)
-        self.low = np.where(active & ~bit, mid + np.uint64(1), self.low)
-        while True:
-            same = np.flatnonzero(((self.low ^ self.high) & _TOP) == 0)
-            if not len(same):
-                return bit
-            self.low[same] = (self.low[same] << _S16) & _MASK
-            self.high[same] = ((self.high[same] << _S16) & _MASK) | np.uint64(0xFFFF)
-            at = np.minimum(self.at[same], self.words.shape[1] - 1)
-            self.code[same] = ((self.code[same] << _S16) & _MASK) | self.words[same, at]
-            self.at[same] += 1
-
-
-def _plain(values: np.ndarray, size: np.ndarray) -> bytes:
-    """The low ``size`` bits of each value, the highest first."""
-    bits = np.unpackbits(values.astype(">u4").view(np.uint8)).reshape(-1, 32)
-    return np.packbits(bits[np.arange(31, -1, -1) < size[:, None]]).tobytes()
-
-
-#: Number of ids, CRC-32 of the ids as little-endian 32-bit integers, bits of a large id, decisions, plain bits.
+        super().__init__(lanes)
+        self.words, self.at = np.zeros((lanes, steps + 64), np.uint16), np.zeros(lanes, np.int64)
+
+    def _shift(self, k: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[k]
+        if int(at.max()) + 4 >= self.words.shape[1]:
+            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
+        self.words[k, at] = low >> _48
+        self.at[k] = at + 1
+
+    def narrow(self, lanes: int) -> None:
+        self.rest = self.low[lanes:].copy()
+        self.low, self.range = self.low[:lanes], self.range[:lanes]
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of all lanes in order, and their numbers: 32 more bits tell a lane's range apart."""
+        low = np.concatenate([self.low, getattr(self, "rest", np.zeros(0, _U))])
+        last = low + (_BOT - _U(1)) >> _32
+        k = np.arange(len(low))
+        if int(self.at.max()) + 2 > self.words.shape[1]:
+            self.words = np.pad(self.words, ((0, 0), (0, 2)))
+        self.words[k, self.at] = last >> _16
+        self.words[k, self.at + 1] = last & _U(0xFFFF)
+        self.at += 2
+        return self.words[np.arange(self.words.shape[1]) < self.at[:, None]], self.at
+
+
+class _In(_Coder):
+    def __init__(self, words: np.ndarray, count: np.ndarray):
+        super().__init__(len(count))
+        n = len(count)
+        self.words = np.zeros((n, int(count.max()) + 4), np.uint16)
+        self.words[np.arange(self.words.shape[1]) < count[:, None]] = words
+        first = self.words[:, :4].astype(_U)
+        self.code = (first[:, 0] << _48) | (first[:, 1] << _32) | (first[:, 2] << _16) | first[:, 3]
+        self.at = np.full(n, 4)
+
+    def _shift(self, k: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[k]
+        self.code[k] = (self.code[k] << _16) | self.words[k, np.minimum(at, self.words.shape[1] - 1)]
+        self.at[k] = at + 1
+
+    def narrow(self, lanes: int) -> None:
+        self.low, self.range, self.code, self.at = self.low[:lanes], self.range[:lanes], self.code[:lanes], self.at[:lanes]
+
+
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes, steps and the length of the last lane."""
+    steps = -(-n // min(max(n // LANE, 1), LANES))
+    lanes = -(-n // steps)
+    return lanes, steps, n - steps * (lanes - 1)
+
+
+ALL = slice(None)
+
+#: Number of ids, CRC-32 of the ids as little-endian 32-bit integers, bits of an escaped id, number of words of each lane, words.
 Block = tuple[int, int, int, bytes, bytes]
 
 
-def encode_blocks(ids: np.ndarray) -> list[Block]:
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the place of each id among them."""
+    most = int(ids.max())
+    if most >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    have = np.zeros(most + 1, bool)
+    have[ids] = True
+    return np.flatnonzero(have), (np.cumsum(have, dtype=np.int32) - 1)[ids]
+
+
+def encode_block(ids: np.ndarray) -> Block:
     ids = np.ascontiguousarray(ids, "<u4")
-    block = int(np.clip(len(ids) // 1024, LEAST_BLOCK, BLOCK))
-    out = []
-    for a in range(0, len(ids), block * LANES):
-        out += _encode_group(ids[a : a + block * LANES], block)
-    return out
-
-
-def _encode_group(ids: np.ndarray, block: int) -> list[Block]:
-    lanes = -(-len(ids) // block)
-    size = np.full(lanes, block)
-    size[-1] = len(ids) - block * (lanes - 1)
-    grid = np.zeros((lanes, block), np.int64)
-    grid.ravel()[: len(ids)] = ids
-    steps = int(size.max())
+    lanes, steps, last = _shape(len(ids))
+    values, where = _numbered(ids)
+    bits = 16 if int(values[-1]) < 1 << 16 else 32
+    grid = np.zeros((lanes, steps), np.int32)
+    grid.ravel()[: len(ids)] = where
     columns = np.ascontiguousarray(grid.T)
+    number = np.zeros(len(values), np.int64)
     model, coder = _Model(lanes), _Out(lanes, steps)
-    escaped = np.zeros((steps, lanes), bool)
     for s in range(steps):
-        x, live = columns[s], s < size
-        model.guess()
-        hit2 = model.g2 == x
-        p = model.hit2.predict(model.e2 & 7)
-        coder.put(hit2, p, live)
-        model.hit2.update(hit2, live)
-        rest = live & ~hit2
-        hit1 = model.g1 == x
-        p = model.hit1.predict(model.e1 & 7)
-        coder.put(hit1, p, rest)
-        model.hit1.update(hit1, rest)
-        rest = rest & ~hit1
-        small = x < 1 << SMALL_BITS
-        p = model.size.predict(model.was_small())
-        coder.put(small, p, rest)
-        model.size.update(small, rest)
-        model.learn(x)
-        escaped[s] = rest
-    streams = coder.finish()
-    out, most = [], 16 if int(ids.max()) < 1 << 16 else 32
-    for i in range(lanes):
-        own = ids[i * block : i * block + size[i]]
-        values = grid[i, : size[i]][escaped[: size[i], i]]
-        out.append((int(size[i]), zlib.crc32(own), most, streams[i], _plain(values, np.where(values < 1 << SMALL_BITS, SMALL_BITS, most))))
-    return out
-
-
-def decode_blocks(blocks: list[Block]) -> np.ndarray:
-    """The ids; a block whose checksum is wrong raises ValueError."""
-    parts = [_decode_group(blocks[a : a + LANES]) for a in range(0, len(blocks), LANES)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-
-def _decode_group(blocks: list[Block]) -> np.ndarray:
-    lanes = len(blocks)
-    size = np.array([b[0] for b in blocks])
-    steps = int(size.max())
-    model, coder = _Model(lanes), _In([b[3] for b in blocks])
-    plain_first = np.cumsum([0] + [len(b[4]) + 8 for b in blocks])[:-1]
-    plain = np.frombuffer(b"".join(b[4] + b"\0" * 8 for b in blocks), np.uint8)
-    at = plain_first * 8
-    most = np.array([b[2] for b in blocks])
-    grid = np.zeros((steps, lanes), np.int64)
+        if s == last:
+            model.narrow(lanes - 1)
+            coder.narrow(lanes - 1)
+        own = columns[s, : len(coder.low)].astype(np.int64)
+        x = number[own]
+        cell = model.predict()
+        is2, is1 = model.g2 == x, model.g1 == x
+        is1 &= ~is2
+        missed = ~(is2 | is1)
+        coded = model.seen(x)
+        coder.take(*model.intervals(cell, coded, is2, np.flatnonzero(~missed), model.rest[cell], model.ab[cell]), coder.range >> _TOTAL, ALL)
+        by_share = coded[missed]
+        if not by_share.all():
+            out = np.flatnonzero(missed & (coded == 0))
+            raw = values[own[out]].astype(_U)
+            for shift in range(bits - 16, -1, -16):
+                coder.take((raw >> _U(shift)) & _U(0xFFFF), _U(1), coder.range[out] >> _16, out)
+            new = np.unique(own[out][x[out] == 0])
+            number[new] = model.room(len(new)) + np.arange(len(new))
+            x[out] = number[own[out]]
+        model.learn(x, is2, is1, by_share)
+    words, count = coder.finish()
+    return len(ids), zlib.crc32(ids), bits, count.astype("<u2").tobytes(), words.astype("<u2").tobytes()
+
+
+def decode_block(block: Block) -> np.ndarray:
+    """The ids; ValueError if the checksum is wrong or the block makes no sense."""
+    n, crc, bits, count, words = block
+    lanes, steps, last = _shape(n)
+    count, words = np.frombuffer(count, "<u2").astype(np.int64), np.frombuffer(words, "<u2")
+    if len(count) != lanes or int(count.sum()) != len(words):
+        raise ValueError("a block is damaged")
+    model, coder = _Model(lanes), _In(words, count)
+    columns = np.zeros((steps, lanes), np.int32)
+    values = np.zeros(1, np.uint32)
+    numbers: dict[int, int] = {}
+    most = _U((1 << 12 + SHARE) - 1)
     for s in range(steps):
-        live = s < size
-        model.guess()
-        p = model.hit2.predict(model.e2 & 7)
-        hit2 = coder.get(p, live)
-        model.hit2.update(hit2, live)
-        rest = live & ~hit2
-        p = model.hit1.predict(model.e1 & 7)
-        hit1 = coder.get(p, rest)
-        model.hit1.update(hit1, rest)
-        rest = rest & ~hit1
-        p = model.size.predict(model.was_small())
-        small = coder.get(p, rest)
-        model.size.update(small, rest)
-        x = np.where(hit2, model.g2, model.g1).astype(np.int64)
-        k = np.flatnonzero(rest)
-        if len(k):
-            bits, where = np.where(small[k], SMALL_BITS, most[k]), at[k]
-            byte = where >> 3
-            word = np.zeros(len(k), np.int64)
-            for j in range(5):
-                word = (word << 8) | plain[np.minimum(byte + j, len(plain) - 1)]
-            x[k] = (word >> (40 - (where & 7) - bits)) & ((1 << bits) - 1)
-            at[k] += bits
-        x[~live] = 0
-        model.learn(x)
-        grid[s] = x
-    out = []
-    for i, (n, crc, *_) in enumerate(blocks):
-        own = np.ascontiguousarray(grid[:n, i]).astype("<u4")
-        if zlib.crc32(own) != crc:
-            raise ValueError(f"block {i} is damaged")
-        out.append(own)
-    return np.concatenate(out)
+        if s == last:
+            model.narrow(lanes - 1)
+            coder.narrow(lanes - 1)
+        cell = model.predict()
+        ab, rest = model.ab[cell], model.rest[cell]
+        r = coder.range >> _TOTAL
+        v = coder.code - coder.low
+        v //= r
+        np.minimum(v, most, out=v)
+        is2, missed = v < model.a[cell], v >= ab
+        hit = np.flatnonzero(~missed)
+        is1 = ~(is2 | missed)
+        slot = (v - ab).astype(np.float64)
+        slot /= rest  # exact: below 2**28 over at most 2**12, so no quotient rounds up to a whole number
+        slot[hit] = 0
+        coded = model.by_slot()[slot.astype(np.int64)]
+        x = coded.copy()
+        x[hit] = np.where(is2[hit], model.g2[hit], model.g1[hit])
+        coder.take(*model.intervals(cell, coded, is2, hit, rest, ab), r, ALL)
+        by_share = coded[missed]
+        if not by_share.all():
+            out = np.flatnonzero(missed & (coded == 0))
+            raw = np.zeros(len(out), np.int64)
+            for _ in range(bits // 16):
+                r = coder.range[out] >> _16
+                half = np.minimum((coder.code[out] - coder.low[out]) // r, _U(0xFFFF))
+                coder.take(half, _U(1), r, out)
+                raw = (raw << 16) | half.astype(np.int64)
+            new = [i for i in np.unique(raw).tolist() if i not in numbers]
+            first = model.room(len(new))
+            numbers.update(zip(new, range(first, first + len(new)), strict=True))
+            values = np.append(values, np.array(new, np.uint32))
+            x[out] = [numbers[i] for i in raw.tolist()]
+        model.learn(x, is2, is1, by_share)
+        columns[s, : len(x)] = x
+    ids = values[np.ascontiguousarray(columns.T).ravel()[:n]].astype("<u4")
+    if zlib.crc32(ids) != crc:
+        raise ValueError("a block is damaged")
+    return ids
+
+
+def encode_blocks(ids: np.ndarray) -> Iterator[Block]:
+    for a in range(0, len(ids), BLOCK):
+        yield encode_block(ids[a : a + BLOCK])

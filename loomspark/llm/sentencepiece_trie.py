@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, chunks, hash_spans, runs
+from .common import WordCache, chunks, pieces_of, runs
 
 CHUNK = 1 << 20
 CACHE_WORDS = 300_000
@@ -167,22 +168,22 @@ class Encoder:
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         start = self._starts(buf, off)
-        end = np.append(start[1:], len(buf))
-        h = hash_spans(buf, start, end, lower=False)
+        size = np.diff(np.append(start, len(buf)))
         firsts = np.zeros(len(start), bool)
         if self.dummy:  # a text's first word has one mark more
             firsts[np.searchsorted(start, off[:-1][np.diff(off) > 0])] = True
-            h = h ^ np.where(firsts, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        new = self.cache.missing(keys)
         data = buf.tobytes()
-        words = sorted(((" " if f else "") + data[a:b].decode()).replace(" ", MARK) + "\0" + str(i) for i, (a, b, f) in enumerate(zip(*(x[where[new]].tolist() for x in (start, end, firsts)), strict=True)))
-        parts = [w.rpartition("\0") for w in words]
-        each: list[list[int]] = [[]] * len(new)
-        for (_, _, i), ids in zip(parts, self.walk([w for w, _, _ in parts]), strict=True):
-            each[int(i)] = ids
-        self.cache.add(keys[new], each)
-        ids, total = self.cache.expand(keys, back)
+
+        def walked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [((" " if f else "") + data[a : a + n].decode()).replace(" ", MARK) for a, n, f in zip(*(x[at].tolist() for x in (start, size, firsts)), strict=True)]
+            order = sorted(range(len(words)), key=words.__getitem__)
+            each: list[list[int]] = [[]] * len(words)
+            for i, ids in zip(order, self.walk([words[i] for i in order]), strict=True):
+                each[i] = ids
+            count = np.fromiter(map(len, each), np.int64, len(each))
+            return np.fromiter(chain.from_iterable(each), np.int32, int(count.sum())), count
+
+        ids, total = self.cache.expand(pieces_of(buf), start, size, firsts, walked)
         return ids, total[np.searchsorted(start, off)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,10 +4,10 @@ Writing.  Rows are dealt by ranges of the id and sorted, so the files in order h
 documents in ascending id order.  Texts are cut into the tokenizer's pre-tokens with numpy
 (the byte-level rule: contractions, letters, digits, other marks, each with a space before it,
 and white space); only pre-tokens that a worker has not met lately go through the tokenizers
-library.  Ids go to the coder of id_coder in groups, and a file appears whole by a rename.
+library.  Ids go to the coder of id_coder a block at a time, and a file appears whole by a rename.
 
-File: MAGIC; per group of blocks a header and its blocks; then the index (ids of the documents,
-their token numbers), its place, and MAGIC again.  The manifest lists files and totals.
+File: MAGIC; each block with its header; then the index (ids of the documents, their token
+numbers), its place, and MAGIC again.  The manifest lists files and totals.
 
 Reading.  Each file is a task; blocks are decoded, checked against their checksums, and cut
 into documents by the index.
@@ -34,75 +34,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, chunks, fresh_path, hash_spans, local_path
-from .id_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from .common import WordCache, chunks, fresh_path, local_path, pieces_of, runs
+from .id_coder import BLOCK, decode_block, encode_blocks
 
-MAGIC = b"LMIDS01\n"
+MAGIC = b"LMIDS02\n"
 FILE_BYTES = 24 << 20
-CACHE_WORDS = 500_000
-WORDS_AT_ONCE = 4096
+CACHE_WORDS = 1_000_000
+WORDS_AT_ONCE = 16384
 CHUNK = 4 << 20
 
-_classes: np.ndarray | None = None
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+_WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+_classes = np.zeros(0x110000, np.uint8)
+_filled = np.zeros(0x1100, bool)
 
 
-def char_classes() -> np.ndarray:
-    """Class of every code point, once per worker."""
-    global _classes
-    if _classes is None:
-        out = np.full(0x110000, OTHER, np.uint8)
-        for c in range(0x110000):
-            kind = unicodedata.category(chr(c))[0]
-            if kind == "L":
-                out[c] = LETTER
-            elif kind == "N":
-                out[c] = DIGIT
-        out[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
-        _classes = out
-    return _classes
+def classes(points: np.ndarray) -> np.ndarray:
+    """The class of each code point; those of 256 neighbours are looked up when one is first met."""
+    for page in np.flatnonzero(np.bincount(points >> 8, minlength=1)).tolist():
+        if not _filled[page]:
+            for c in range(page << 8, (page + 1) << 8):
+                kind = unicodedata.category(chr(c))[0]
+                _classes[c] = SPACE if c in _WHITE else LETTER if kind == "L" else DIGIT if kind == "N" else OTHER
+            _filled[page] = True
+    return _classes[points]
+
+
+_FIRST = classes(np.arange(256))
 
 
 _CONTRACTED = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
+def byte_classes(buf: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    cls = _FIRST[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        padded = np.append(buf, np.zeros(3, np.uint8))
+        b = padded[lead].astype(np.int64)
+        tail = [padded[lead + k].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        point = np.where(b < 0xE0, (b & 0x1F) << 6 | tail[0], np.where(b < 0xF0, (b & 0x0F) << 12 | tail[0] << 6 | tail[1], (b & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+        own = classes(point)
+        cls[lead] = cls[lead + 1] = own
+        for k, least in ((2, 0xE0), (3, 0xF0)):
+            wide = b >= least
+            cls[lead[wide] + k] = own[wide]
+    return cls
+
+
 def pretokens(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Byte starts of the pre-tokens; they cover the texts without gaps."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64)
-    data = buf.tobytes()
-    points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
-    lead = np.flatnonzero((buf & 0xC0) != 0x80)
-    cls = char_classes()[points]
-    m = len(points)
-    doc = np.zeros(m, bool)  # first character of a text
-    starts = off[off < n]
-    doc[np.searchsorted(lead, starts)] = True
-    last = np.append(doc[1:], True)  # last character of a text
+    cls = byte_classes(buf)
+    doc = np.zeros(n, bool)  # first byte of a text
+    doc[off[off < n]] = True
+    last = np.append(doc[1:], True)  # last byte of a text
     new = doc.copy()
     new[1:] |= cls[1:] != cls[:-1]
     space = cls == SPACE
     # the last white space of a run that goes on to something else: a token of its own, or the space before one
-    tail = space & ~last & np.append(cls[1:] != SPACE, True)
-    new |= tail
-    joined = np.flatnonzero(tail & (points == 32)) + 1
-    new[joined] = False
+    tail = space & ~last
+    tail[:-1] &= ~space[1:]
+    at = np.flatnonzero(tail)
+    first = at.copy()
+    for _ in range(3):
+        first -= (buf[first] & 0xC0) == 0x80
+    new[first] = True
+    new[at[buf[at] == 32] + 1] = False
     # contractions: a lone apostrophe that starts a token, before letters
-    quote = np.flatnonzero((points == 39) & new & ~last)
+    quote = np.flatnonzero((buf == 39) & new & ~last)
     quote = quote[new[quote + 1] & (cls[quote + 1] == LETTER)]
+    data = buf.tobytes() if len(quote) else b""
     for q in quote.tolist():
-        at = int(lead[q]) + 1
         for c in _CONTRACTED:
-            if data.startswith(c, at) and (q + 1 + len(c) > m or not doc[q + 1 : q + 1 + len(c)].any()):
+            end = q + 1 + len(c)
+            if data.startswith(c, q + 1) and not doc[q + 1 : end].any():
                 new[q + 1] = False
-                end = q + 1 + len(c)
-                if end < m:
+                if end < n:
                     new[end] = True
-                    if space[end] and points[end] == 32 and tail[end] and end + 1 < m:
+                    if tail[end] and buf[end] == 32 and end + 1 < n:
                         new[end + 1] = False
                 break
-    return lead[new]
+    return np.flatnonzero(new)
+
+
+NEWLINE = 10
 
 
 class Tokens:
@@ -115,20 +134,58 @@ class Tokens:
         self.own = Tokenizer.from_file(tokenizer_file)
         self.own.encode_special_tokens = True
         self.cache = WordCache(np.uint32, CACHE_WORDS)
+        line = self.own.encode("\n", add_special_tokens=False).ids
+        self.newline = line[0] if len(line) == 1 else None
+
+    def _encode(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and their numbers.
+
+        Those that end in no white space go to the library joined by line feeds, which are pre-tokens of their own.
+        """
+        count = np.zeros(len(start), np.int64)
+        white = _FIRST[buf[start + size - 1]] == SPACE
+        white |= buf[start + size - 1] >= 0x80  # perhaps
+        white |= self.newline is None
+        found: list[np.ndarray] = []
+        where: list[np.ndarray] = []
+        plain = np.flatnonzero(~white)
+        for k in range(0, len(plain), WORDS_AT_ONCE):
+            at = plain[k : k + WORDS_AT_ONCE]
+            n = size[at] + 1
+            first = np.cumsum(n) - n
+            raw = np.full(int(n.sum()), NEWLINE, np.uint8)
+            raw[runs(first, size[at])] = buf[runs(start[at], size[at])]
+            ids = np.array(self.own.encode_batch_fast([raw.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.newline)
+            if len(cut) != len(at):
+                white[at] = True  # another rule than this file's; they go one by one
+                continue
+            count[at] = np.diff(np.append(-1, cut)) - 1
+            found.append(np.delete(ids, cut))
+            where.append(at)
+        alone = np.flatnonzero(white)
+        if len(alone):
+            data = buf.tobytes()
+            for k in range(0, len(alone), WORDS_AT_ONCE):
+                at = alone[k : k + WORDS_AT_ONCE]
+                words = [data[a : a + b].decode() for a, b in zip(start[at].tolist(), size[at].tolist(), strict=True)]
+                ids = [e.ids for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
+                count[at] = [len(x) for x in ids]
+                found.append(np.array([i for x in ids for i in x], np.uint32))
+                where.append(at)
+        out = np.zeros(int(count.sum()), np.uint32)
+        first = np.cumsum(count) - count
+        for ids, at in zip(found, where, strict=True):
+            out[runs(first[at], count[at])] = ids
+        return out, count
 
     def __call__(self, buf: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and each text's first."""
         n = len(off) - 1
         start = pretokens(buf, off)
         if len(start):
-            end = np.append(start[1:], len(buf))
-            keys, where, back = np.unique(hash_spans(buf, start, end, lower=False), return_index=True, return_inverse=True)
-            new = self.cache.missing(keys)
-            data = buf.tobytes()
-            words = [data[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
-            found = (e.ids for k in range(0, len(words), WORDS_AT_ONCE) for e in self.own.encode_batch_fast(words[k : k + WORDS_AT_ONCE], add_special_tokens=False))
-            self.cache.add(keys[new], list(found))
-            ids, total = self.cache.expand(keys, back)
+            size = np.diff(np.append(start, len(buf)))
+            ids, total = self.cache.expand(pieces_of(buf), start, size, None, lambda at: self._encode(buf, start[at], size[at]))
             first = total[np.searchsorted(start, off)]
         else:
             ids, first = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
@@ -169,15 +226,14 @@ class Writer:
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         self.n_ids += len(ids)
-        while self.n_waiting >= BLOCK * LANES:
-            self._flush(BLOCK * LANES)
+        while self.n_waiting >= BLOCK:
+            self._flush(BLOCK)
 
     def _flush(self, n: int) -> None:
         every = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
         self.waiting, self.n_waiting = [every[n:]], len(every[n:])
-        blocks = encode_blocks(every[:n])
-        head = np.array([(b[0], b[1], b[2], len(b[3]), len(b[4])) for b in blocks], "<u4")
-        self.file.write(struct.pack("<I", len(blocks)) + head.tobytes() + b"".join(b[3] + b[4] for b in blocks))
+        for n_ids, crc, bits, count, words in encode_blocks(every[:n]):
+            self.file.write(struct.pack("<5I", n_ids, crc, bits, len(count), len(words)) + count + words)
 
     def close(self) -> None:
         if self.n_waiting:
@@ -205,10 +261,8 @@ def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         f.seek(len(MAGIC))
         waiting, begun, doc = np.zeros(0, np.uint32), 0, 0
         while f.tell() < at:
-            (k,) = struct.unpack("<I", f.read(4))
-            head = np.frombuffer(f.read(20 * k), "<u4").reshape(k, 5).tolist()
-            blocks = [(h[0], h[1], h[2], f.read(h[3]), f.read(h[4])) for h in head]
-            waiting = np.concatenate([waiting, decode_blocks(blocks)])
+            n_ids, crc, bits, n_count, n_words = struct.unpack("<5I", f.read(20))
+            waiting = np.concatenate([waiting, decode_block((n_ids, crc, bits, f.read(n_count), f.read(n_words)))])
             until = int(np.searchsorted(bounds, begun + len(waiting), "right")) - 1
             if until > doc:
                 first = bounds[doc : until + 1] - begun

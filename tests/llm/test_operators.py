@@ -93,15 +93,81 @@ def test_unigram_walk_is_the_best_sum():
         assert "".join(pieces) == w and sum(e.score[p] for p in pieces) == pytest.approx(best(w))
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 255, 5000])
-def test_id_coder_round_trip(n):
+@pytest.mark.parametrize("n", [0, 1, 7, 255, 5000, 70_000])
+def test_id_coder_round_trip(n, monkeypatch):
+    monkeypatch.setattr(id_coder, "BLOCK", 30_000)
     ids = np.array([rng.choice([0, 1, 2, 1023, 1024, 50_256, 2**32 - 1, rng.randrange(3000)]) for _ in range(n)], np.uint32)
-    blocks = id_coder.encode_blocks(ids)
-    assert np.array_equal(id_coder.decode_blocks(blocks), ids)
+    blocks = list(id_coder.encode_blocks(ids))
+    assert np.array_equal(np.concatenate([np.zeros(0, np.uint32), *map(id_coder.decode_block, blocks)]), ids)
     if n > 300:
         b = blocks[0]
         with pytest.raises(ValueError):
-            id_coder.decode_blocks([(b[0], b[1] ^ 1, *b[2:])])
+            id_coder.decode_block((b[0], b[1] ^ 1, *b[2:]))
+        damaged = bytearray(b[4])
+        damaged[len(damaged) // 2] ^= 4
+        with pytest.raises(ValueError):
+            id_coder.decode_block((*b[:4], bytes(damaged)))
+        with pytest.raises(ValueError):
+            id_coder.decode_block((*b[:4], b[4][:-2]))
+
+
+def test_id_coder_with_more_ids_than_shares(monkeypatch):
+    monkeypatch.setattr(id_coder, "SEEN", 100)
+    ids = np.array([rng.randrange(400) for _ in range(20_000)], np.uint32)
+    assert np.array_equal(id_coder.decode_block(id_coder.encode_block(ids)), ids)
+
+
+def adaptive_order0(ids):
+    """Bits of an adaptive order-0 count that starts from one for each id of the block."""
+    n = len(set(ids.tolist()))
+    count, bits = dict.fromkeys(ids.tolist(), 1), 0.0
+    for k, i in enumerate(ids.tolist()):
+        bits -= np.log2(count[i] / (n + k))
+        count[i] += 1
+    return bits
+
+
+def test_id_coder_beats_order_0():
+    r = np.random.default_rng(3)
+    follow = r.integers(0, 500, (500, 3))
+    ids = [0]
+    for _ in range(60_000):
+        ids.append(int(follow[ids[-1], r.integers(3)]) if r.random() < 0.8 else int(r.integers(500)))
+    ids = np.array(ids, np.uint32)
+    b = id_coder.encode_block(ids)
+    assert 8 * (len(b[3]) + len(b[4])) < adaptive_order0(ids)
+    same = id_coder.encode_block(np.full(60_000, 9, np.uint32))
+    assert len(same[3]) + len(same[4]) < 4000
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_no_arithmetic_pattern_meets_another_words_hash():
+    words = [*thue_morse(1024), *thue_morse(4096), "a" * 8, "a" * 9, "a" * 2048, "a" * 2049, "b" + "a" * 2048, "abcdefg", "abcdefgh"]
+    (_, _, buf, off), = common.chunks(pa.array(words))
+    assert len(set(common.hash_spans(buf, off[:-1], off[1:]).tolist())) == len(words)
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_tokens_equal_the_libraries_when_hashes_are_equal(monkeypatch, bits):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole = common.hash_pieces
+    monkeypatch.setattr(common, "hash_pieces", lambda *a: (whole(*a)[0] & np.uint64(2**bits - 1), whole(*a)[1]))
+    texts = [*thue_morse(1024), "the thing of a something, otherwise nothing", "a b  c the thing", "über straße", *thue_morse(64), "x" * 5000]
+    f = queries.tokenizer_file("byte_bpe_50k.json")
+    own, lib = token_file.Tokens(f), Tokenizer.from_file(f)
+    piece, ref = sentencepiece_trie.Encoder(queries.tokenizer_file("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
+    for _ in range(2):
+        for _, _, buf, off in common.chunks(pa.array(texts)):
+            ids, first = own(buf, off, None)
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+            ids, first = piece.encode(buf, off)
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ref.encode(t) for t in texts]
 
 
 def test_token_file_order(spark):
@@ -188,19 +254,22 @@ def test_word_hashes_tell_words_apart():
 
 
 def test_word_cache_forgets_and_expands():
-    from loomspark.llm.common import WordCache
-
-    rng = np.random.default_rng(3)
-    ids_of = {k: [k % 7] * (k % 4) for k in range(200)}
-    cache = WordCache(np.int32, 40)
-    for n in [0, 5, 30, 60, 1, 25, 90, 3] * 4:  # more at once than the cache keeps, too
-        drawn = rng.integers(0, 200, n).astype(np.uint64)
-        keys, back = np.unique(drawn, return_inverse=True)
-        new = cache.missing(keys)
-        cache.add(keys[new], [ids_of[int(k)] for k in keys[new]])
-        flat, at = cache.expand(keys, back)
-        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of[int(k)] for k in drawn]
-        assert len(cache.keys) <= 40 + 90  # words of one call tie and stay together
+    r = random.Random(3)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(200)]
+    cache = common.WordCache(np.int32, 40)
+    ids_of = lambda w, m: [len(w), m] * (ord(w[0]) % 3)
+    for n in [1, 5, 30, 60, 1, 25, 90, 3] * 4:  # more at once than the cache keeps, too
+        drawn = [r.choice(words) for _ in range(n)]
+        mark = np.array([r.random() < 0.5 for _ in range(n)])
+        (_, _, buf, off), = common.chunks(pa.array(drawn))
+
+        def encode(at, drawn=drawn, mark=mark):
+            ids = [ids_of(drawn[i], int(mark[i])) for i in at]
+            return np.array([x for own in ids for x in own], np.int32), np.array([len(own) for own in ids])
+
+        flat, at = cache.expand(common.pieces_of(buf), off[:-1], np.diff(off), mark, encode)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of(w, int(m)) for w, m in zip(drawn, mark, strict=True)]
+        assert cache.n <= 40 + 90
 
 
 def test_jaccard_links_members_that_leave_with_a_hub(spark, monkeypatch):
