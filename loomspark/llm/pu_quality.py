@@ -165,6 +165,11 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> float:
     return float(np.clip(share_u[at] / share_p[at], 0.05, 0.95))
 
 
+def sampled(ids: Column, most: int, n: int) -> Column:
+    """About ``most`` of n ids by their hash, all of them where there are no more."""
+    return F.lit(True) if n <= most else F.xxhash64(ids, F.lit(42)) < F.lit(most * 2**64 // n - 2**63)
+
+
 VECTORS = "positive boolean, x binary"
 
 
@@ -174,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     ones = labels.where(trainable & (F.col(label_col) == 1)).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
 
     def bounded(ids: DataFrame, most: int) -> DataFrame:
-        share = min(1.0, most / max(1, ids.count()))
-        return ids.where(F.pmod(F.xxhash64("_id", F.lit(42)), F.lit(1_000_000)) < int(share * 1_000_000))
+        return ids.where(sampled(F.col("_id"), most, ids.count()))
 
     pos = bounded(ones, max_positive).select("_id", F.lit(True).alias("positive"))
     unl = bounded(train.select(F.col(id_col).alias("_id")).where("_id is not null"), max_unlabelled).distinct().select("_id", F.lit(False).alias("positive"))
