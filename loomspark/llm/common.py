@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 
@@ -49,6 +50,23 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than one row in so many is joined by a broadcast, so at most as many keys are.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows with the columns of side (one row a key) that fit, nulls otherwise; keys are not null.
+
+    n: the column of side that counts the key's rows.  A key that more than one of HOT rows has goes to
+    every task, which is fewer than HOT keys, so no task gets all rows of one; the others are joined as Spark likes.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(side.where(F.col(n) * HOT > total))
+    met = rows.join(hot, keys)
+    rest = rows.join(hot, keys, "left_anti").join(side.where(F.col(n) * HOT <= total), keys, "left")
+    return met.unionByName(rest)
+
+
 def local_path(uri: str) -> str:
     """A folder of the shared file system as a path for open() and mmap."""
     if uri.startswith("file:"):
