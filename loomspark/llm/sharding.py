@@ -3,12 +3,13 @@
 Rows with equal texts form a group.  Groups are dealt to buckets by a hash of their digest.
 In a bucket every group starts as a partial partition (its bytes in one part, 0 in the
 others); the two partial partitions of the largest spread are combined, the largest parts of one
-with the smallest of the other, until one is left.  The driver then combines the buckets'
-partial partitions (so many numbers as there are shards each) in the same way, which gives
-every bucket a permutation of its parts.
+with the smallest of the other, until one is left.  The buckets' partial partitions (so many
+numbers as there are shards each) are combined in the same way in a tree of tasks, which gives every
+bucket a permutation of its parts; nothing comes to the driver.
 
-A group larger than one shard's even share can't be balanced whole: it is split into runs of
-rows of at most an eighth of that share (see SPLIT), each of which is an item like any group.
+Groups are indivisible, so a group larger than one shard's even share makes its shard that much
+larger, and the others share the rest evenly.  Where equal bytes matter more than whole groups, ``split``
+deals such a group to runs of rows, each of which is an item like any group.
 
 Defined cases: a null text has no bytes, but its size counts the fixed overhead; ties go by
 digest and position, so runs repeat exactly; repeated rows each get a slot; an empty table
@@ -25,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
-SPLIT = 8
 GROUPS_PER_BUCKET = 20_000
+#: Partial partitions that one task of the tree combines.
+FAN = 500
 
 
 def differencing(sums: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,50 +80,69 @@ def _bucket_parts(parts: int):
             s[0] = b
             sums.append(s)
         total, place = differencing(sums, parts)
-        return pd.DataFrame({"bucket": pdf["bucket"], "key": pdf["key"], "run": pdf["run"], "part": place[:, 0].astype("int32"), "part_bytes": total[place[:, 0]]})
+        return pd.DataFrame({"bucket": pdf["bucket"], "key": pdf["key"], "run": pdf["run"], "n": pdf["n"], "part": place[:, 0].astype("int32"), "part_bytes": total[place[:, 0]]})
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
-    """One row per input row: _id, size, text_crc32, shard and slot (gapless from 0 in id order)."""
+def _combined(parts: int):
+    """Combine the partial partitions of a node of the tree: where each part of each of them goes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "part"], kind="stable")
+        ids = pdf["bucket"].unique()
+        sums = np.zeros((len(ids), parts), np.int64)
+        sums[np.searchsorted(ids, pdf["bucket"].to_numpy()), pdf["part"].to_numpy()] = pdf["part_bytes"].to_numpy()
+        total, place = differencing(list(sums), parts)
+        return pd.DataFrame({"bucket": np.repeat(ids, parts), "part": np.tile(np.arange(parts, dtype=np.int32), len(ids)), "up": pdf["up"].iloc[0], "to_part": place.ravel().astype(np.int32), "to_bytes": total[place.ravel()]})
+
+    return run
+
+
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, split: int | None = None) -> DataFrame:
+    """One row per input row: _id, size, text_crc32, shard and slot (gapless from 0 in id order).
+
+    split: None keeps every group whole; a number lets a group larger than one shard's even share be
+    dealt to runs of about that part of the share.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = text.cast("binary")
     rows = cut(docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.substring(F.sha2(raw, 256), 1, 32).alias("key")), "sizes")
-    spark = docs.sparkSession
     groups = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "groups")
     sums = groups.agg(F.sum(F.col("n") * F.col("size")).alias("b"), F.count(F.lit(1)).alias("g")).first()
-    share = max(1, (sums["b"] or 0) // shards)
+    rows = rows.withColumn("run", F.lit(0))
+    items = groups.select("key", F.lit(0).alias("run"), "n", (F.col("n") * F.col("size")).alias("item_bytes"))
+    if split:
+        share = max(1, (sums["b"] or 0) // shards)
+        large = groups.where(F.col("n") * F.col("size") > share).select("key", F.ceil(F.col("n") * F.col("size") * split / share).cast("int").alias("runs"))  # fewer than `shards` groups
+        # the rows of a run: dealt by a hash of the id, so runs hold about equally many rows; counted below
+        rows = rows.join(F.broadcast(large), "key", "left").withColumn("run", F.coalesce(F.pmod(F.xxhash64("_id", F.lit(7)), F.col("runs")), F.lit(0)).cast("int")).drop("runs")
+        items = rows.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("item_bytes"))
     buckets = max(1, -(-sums["g"] // GROUPS_PER_BUCKET))
-    # a group above one share is dealt to runs of about an eighth of it; other groups are one run
-    large = groups.where(F.col("n") * F.col("size") > share).select("key", F.ceil(F.col("n") * F.col("size") * SPLIT / share).cast("int").alias("runs"))  # fewer than `shards` groups
-    # the rows of a run: dealt by a hash of the id, so runs hold about equally many rows; counted below
-    marked = rows.join(F.broadcast(large), "key", "left")
-    marked = marked.withColumn("run", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id", F.lit(7)), F.col("runs"))).cast("int")).drop("runs")
-    actual = cut(marked.groupBy("key", "run").agg(F.sum("size").alias("item_bytes")), "items")
-    items = actual.withColumn("bucket", F.pmod(F.xxhash64("key", "run"), F.lit(buckets)).cast("int"))
-    dealt = cut(items.groupBy("bucket").applyInPandas(_bucket_parts(shards), "bucket int, key string, run int, part int, part_bytes long"), "parts")
-    tops = dealt.groupBy("bucket", "part").agg(F.max("part_bytes").alias("b")).orderBy("bucket", "part").toLocalIterator()  # a number for each bucket and shard
-    totals: dict[int, np.ndarray] = {}
-    for r in tops:
-        totals.setdefault(r["bucket"], np.zeros(shards, np.int64))[r["part"]] = r["b"]
-    ids = sorted(totals)
-    _, place = differencing([totals[b] for b in ids], shards)
-    where = spark.createDataFrame([(b, p, int(place[i][p])) for i, b in enumerate(ids) for p in range(shards)], "bucket int, part int, shard int")
-    of_item = dealt.join(F.broadcast(where), ["bucket", "part"]).select("key", "run", "shard")
-    placed = cut(marked.join(of_item, ["key", "run"]).select("_id", "size", "text_crc32", "shard"), "placed")
-    return slots(placed)
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "run"), F.lit(buckets)))
+    dealt = cut(items.groupBy("bucket").applyInPandas(_bucket_parts(shards), "bucket long, key string, run int, n long, part int, part_bytes long"), "parts")
+    # a tree of FAN buckets a node, up to one partition of all; then the way down to each bucket's parts
+    tops, levels = dealt.select("bucket", "part", "part_bytes").distinct(), []
+    while buckets > 1:
+        buckets = -(-buckets // FAN)
+        level = tops.withColumn("up", F.floor(F.col("bucket") / FAN)).groupBy("up").applyInPandas(_combined(shards), "bucket long, part int, up long, to_part int, to_bytes long")
+        levels.append(cut(level, "level"))
+        tops = levels[-1].select(F.col("up").alias("bucket"), F.col("to_part").alias("part"), F.col("to_bytes").alias("part_bytes")).distinct()
+    where = None
+    for level in reversed(levels):
+        level = level.select("bucket", "part", "up", "to_part")
+        where = level.select("bucket", "part", F.col("to_part").alias("shard")) if where is None else level.join(where.toDF("up", "to_part", "shard"), ["up", "to_part"]).select("bucket", "part", "shard")
+    placed = dealt.join(where, ["bucket", "part"]) if where is not None else dealt.withColumn("shard", F.col("part"))
+    of_item = cut(placed.select("key", "run", "n", "shard"), "items")
+    return slots(join_counted(rows, of_item, ["key", "run"], "n").select("_id", "size", "text_crc32", "shard"))
 
 
 def slots(placed: DataFrame) -> DataFrame:
-    """slot: 0, 1, 2 … in each shard in id order, numbered in ranges of ids and then shifted."""
+    """slot: 0, 1, 2 … in each shard in id order, numbered in ranges of shard and id and then shifted."""
     n = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = placed.stat.approxQuantile("_id", [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    cuts = [F.lit(int(c)) for c in sorted(set(cuts))]
-    at = F.coalesce(F.col("_id"), F.lit(-(2**63)))
-    piece = F.size(F.filter(F.array(*cuts), lambda c: at > c)) if cuts else F.lit(0)
-    placed = placed.withColumn("piece", piece.cast("int"))
+    order = ["shard", "_id", "text_crc32", "size"]
+    placed = cut(cut(placed, "placed").repartitionByRange(n, *order).withColumn("piece", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("_id", "text_crc32", "size")) - 1
+    before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))  # at most a row for each shard and piece that meet: n + shards
+    own = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*order[1:])) - 1
     return placed.withColumn("own", own).join(F.broadcast(before), ["shard", "piece"]).select("_id", "size", "text_crc32", "shard", (F.col("own") + F.col("before")).cast("long").alias("slot"))
