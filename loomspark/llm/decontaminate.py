@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, chain, chunks, cut, hash_spans, runs, shingles, spans
+from .common import ALNUM_WORDS, chain, chunks, hash_spans, runs, shingles, spans
 
 INDEX_ITEMS = 20_000
 BLOCK = 8
@@ -216,14 +216,18 @@ def _shards(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tup
         yield part
 
 
+def _indexes(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, threshold: float) -> Iterator:
+    """The index of each part of the items, sent to the tasks; at most INDEX_ITEMS items each."""
+    stats = Stats(_shards(items, item_col, item_text))
+    for part in _shards(items, item_col, item_text):
+        yield docs.sparkSession.sparkContext.broadcast(Index(part, threshold, stats))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
     """One row per text and verified item, see HITS."""
-    spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = spark.createDataFrame([], HITS)
-    stats = Stats(_shards(items, item_col, item_text))
-    for part in _shards(items, item_col, item_text):
-        index = spark.sparkContext.broadcast(Index(part, threshold, stats))  # at most INDEX_ITEMS items
+    out = docs.sparkSession.createDataFrame([], HITS)
+    for index in _indexes(docs, items, item_col, item_text, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -238,9 +242,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that hold a test item; rows without an id stay."""
-    lost = cut(contaminated(docs, items, id_col, **how).select(F.col("_id").alias("_lost")).distinct(), "leaks")
-    if lost.count() <= 1_000_000:
-        lost = F.broadcast(lost)
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
+    """docs without the rows that hold a test item; a pass over the rows themselves, whatever their ids."""
+    at, out = docs.columns.index(text_col), docs
+    for index in _indexes(docs, items, item_col, item_text, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, buf, off in chunks(batch.column(at)):
+                    keep = np.ones(j - i, bool)
+                    keep[[h[0] for h in index.value.search(buf, off, question, answer)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
