@@ -31,13 +31,14 @@ never gathered: they only get their hub by a join.  Members are (bucket, node) n
 joined to those that are left.
 
 Defined cases: null and empty texts (no words) are linked with nothing; repeated rows are
-copies of one another; ties go to the smaller id; rows without an id are left out; ids
-lie within 62 bits; an empty
-table gives no rows; other columns play no part.
+copies of one another; ties go to the smaller id; nodes have numbers of their own, so ids may
+repeat, lack or be of any size (a class without any id has none); an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, chunks, cut, hash_spans, mix, runs, shingles, spans
+from .common import SPACE_WORDS, chunks, cut, hash_spans, join_counted, mix, runs, shingles, spans
 
 T = 64
 K = 5
@@ -99,11 +100,11 @@ def _sets(buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         yield u
 
 
-SKETCH = "_id long, digest long, n int, small binary, large binary"
+SKETCH = "_id long, digest binary, n int, small binary, large binary"
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: hash of its shingle set, the set's size and its tokens; digest is null without words."""
+    """Per row: digest of its shingle set, the set's size and its tokens; digest is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +113,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for u in _sets(buf, off):
                     n = len(u)
                     size.append(n)
-                    digest.append(int(mix(np.array([u.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u)) + np.uint64(n)])).view(np.int64)[0] ^ mix(np.array([np.bitwise_xor.reduce(mix(u)) + np.uint64(n)])).view(np.int64)[0]) if n else None)
+                    digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if n else None)
                     small.append(minhash(u).tobytes() if 0 < n <= LARGE else None)
                     large.append(onehash(u).tobytes() if n >= SMALL else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digest, pa.int64()), pa.array(size, pa.int32()), pa.array(small, pa.binary()), pa.array(large, pa.binary())], ["_id", "digest", "n", "small", "large"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(small, pa.binary()), pa.array(large, pa.binary())], ["_id", "digest", "n", "small", "large"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, SKETCH)
 
 
 MEMBERS = "key long, ref long"
@@ -508,37 +509,72 @@ def _links(threshold: float, every: bool):
     return run
 
 
-
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.995) -> tuple[DataFrame, DataFrame]:
     """(rows, links).
 
-    rows: _id, class_id (the smallest id that links lead to), node (the smallest id with the same
-    shingle set), n_links (all confirmed links of the node), n_copies (rows of the node).
+    rows: _id, class_id (the smallest id of the rows that links and equal sets join), node (the smallest
+    id with the same shingle set), n_links (all confirmed links of the node), n_copies (rows of the
+    node), class_no (a number of the class, also where ids repeat or lack).
     links: a, b, jaccard between nodes, every link; made where it is used, as dense groups have many.
     """
     rows = cut(sketch(docs, id_col, text_col), "sketch")
-    nodes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("small", True).alias("small"), F.first("large", True).alias("large")), "nodes")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("small", True).alias("small"), F.first("large", True).alias("large"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tokens = cut(_union([nodes.where(f"{c} is not null").select((F.col("node") * 2 + k).alias("ref"), F.col(c).alias("tokens")) for k, c in enumerate(("small", "large"))]), "tokens")
     near = components(candidates(tokens, threshold, recall))
     placed = blocks(near.join(nodes.select("node", "n"), "node"), threshold)
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(placed) if placed.count() <= 1_000_000 else placed, "node").select("node", "component", "block", "lo", "hi", "text")
-    dealt = texts.mapInArrow(_dealt, SHARED).repartition(_wide(docs), "component", "x", "y").sortWithinPartitions("component", "x", "y", "block", "node")
+    wanted = placed.join(nodes.select("node", "digest"), "node")
+    dealt = sketch_sets(docs, id_col, text_col, rows, wanted).repartition(_wide(docs), "component", "x", "y").sortWithinPartitions("component", "x", "y", "block", "node")
     counted = cut(dealt.mapInArrow(_links(threshold, False), COUNTED), "links")
     comp = components(counted.where("n_links < 0"))
     degree = counted.where("n_links >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
-    of_node = nodes.select("digest", "node", "copies").join(comp, "node", "left").join(degree, "node", "left")
-    out = rows.select("_id", "digest").join(of_node, "digest", "left")
-    return (
-        out.select("_id", F.coalesce("component", "node", "_id").alias("class_id"), F.coalesce("node", "_id").alias("node"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")),
-        dealt.mapInArrow(_links(threshold, True), LINKS),
-    )
+    of_node = nodes.select("digest", "node", "least", "copies").join(comp, "node", "left").join(degree, "node", "left").withColumn("class_no", F.coalesce("component", "node"))
+    class_ids = of_node.groupBy("class_no").agg(F.min("least").alias("class_id"))
+    of_node = cut(of_node.join(class_ids, "class_no").select("digest", "class_no", "class_id", "least", "n_links", "copies"), "classes")
+    some = join_counted(rows.where("digest is not null").select("_id", "digest"), of_node, ["digest"], "copies").drop("digest")
+    none = rows.where("digest is null").select("_id", *[F.lit(None).cast(of_node.schema[c].dataType).alias(c) for c in some.columns[1:]])
+    out = some.unionByName(none.withColumn("class_id", F.col("_id")).withColumn("least", F.col("_id")))
+    name = nodes.select("node", "least")
+    links = dealt.mapInArrow(_links(threshold, True), LINKS)
+    links = links.join(name.toDF("a", "id_a"), "a").join(name.toDF("b", "id_b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
+    return out.select("_id", "class_id", F.col("least").alias("node"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "class_no"), links
+
+
+def sketch_sets(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle set of each wanted node for each pair of blocks, see SHARED; from one row of it, or a few equal ones.
+
+    wanted: node, component, block, lo, hi, digest.  Texts are found by id; rows whose id is not of one
+    digest alone are found by the digest of their text.
+    """
+    halves = [F.xxhash64("digest", F.lit(k)) for k in (1, 2)]
+    per_id = rows.groupBy("_id").agg(F.first("digest").alias("digest"), F.min(F.struct(*halves)).alias("low"), F.max(F.struct(*halves)).alias("high"))
+    sole = F.expr("_id is not null and low = high")
+    by_id = cut(per_id.where(sole).groupBy("digest").agg(F.min("_id").alias("_id")).join(wanted, "digest"), "wanted")
+    rest = cut(wanted.join(by_id.select("digest"), "digest", "left_anti"), "rest")
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = picked.join(F.broadcast(by_id) if by_id.count() <= 1_000_000 else by_id, "_id")
+    if not rest.isEmpty():
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, buf, off in chunks(batch.column(0)):
+                    own = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None for u in _sets(buf, off)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], ["text", "digest"])
+
+        odd = picked.join(per_id.where(~sole).select(F.col("_id").alias("_odd")), F.col("_id").eqNullSafe(F.col("_odd")), "left_semi")
+        odd = odd.select("text").mapInArrow(digests, "text string, digest binary").join(rest, "digest")
+        texts = texts.select("node", "component", "block", "lo", "hi", "text").unionByName(odd.select("node", "component", "block", "lo", "hi", "text"))
+    return texts.select("node", "component", "block", "lo", "hi", "text").mapInArrow(_dealt, SHARED)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """docs with one row (the class's smallest id) of each class; rows without an id stay."""
+    """docs with one row (the class's smallest id) of each class.
+
+    Rows without an id stay; of rows that share an id, all stay where one of them stays.
+    """
     rows, _ = jaccard_classes(docs, id_col, text_col, threshold, recall)
-    lost = cut(rows.where("_id <> class_id").select(F.col("_id").alias("_lost")).distinct(), "lost")
+    lost = rows.where("_id is not null").groupBy("_id").agg(F.min(F.col("_id") != F.col("class_id")).alias("_gone")).where("_gone").select(F.col("_id").alias("_lost"))
+    lost = cut(lost, "lost")
     if lost.count() <= 1_000_000:
         lost = F.broadcast(lost)
     return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
