@@ -8,7 +8,8 @@ counted per word (totals, continuations) is summed once more, from one entry per
 
 Storage.  Each range is a file of sorted 64-bit keys with an aligned file of counts, in the
 shared folder; a file appears whole by a rename, so a lost executor leaves none half-written.
-The ranges divide the hash space, so a query finds its range by a comparison.
+The ranges divide the hash space, so a query finds its range by a comparison; their number grows
+with the text, their size does not, and a worker maps a bounded number of them at once.
 
 Scoring.  Workers map the files and look sorted, distinct queries up with binary searches.
 
@@ -22,12 +23,13 @@ tokens not seen.  Each text is scored with one begin mark and ends with one end
 Defined cases: null and empty texts are one end token; texts are read whole; repeated rows
 count as often as they stand there; with no training token all probabilities are uniform
 over one unknown token; an empty table gives no rows; other columns play no part.  Tokens are
-told apart by WORD_BYTES bytes of their hashes.
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,20 +45,8 @@ MAP_BYTES = 6 << 20
 SCORE_BYTES = 3 << 20
 #: Text bytes for each hash range.
 RANGE_BYTES = 16 << 20
-#: Bytes of a word's hash that count; 6 tell some millions of words apart, corpora of more than 10**8 distinct words want 8.
-WORD_BYTES = 6
-_KEPT = np.uint64((2**64 - 1) ^ (2 ** (64 - 8 * WORD_BYTES) - 1))
-
-
-def pack(h: np.ndarray) -> bytes:
-    """The bytes that count of each hash."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :]).tobytes()
-
-
-def unpack(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
-    out[:, 8 - WORD_BYTES :] = raw.reshape(-1, WORD_BYTES)
-    return out.view("<u8").ravel().astype(np.uint64)
+#: Ranges that a worker keeps open at once, up to three files each.
+OPEN_RANGES = 64
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -64,6 +54,11 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
 
+def widened(raw: bytes, n: int) -> np.ndarray:
+    """n numbers that narrow() made bytes of."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def saturate(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts as bytes, and (position, count) of those from 255 on."""
     big = np.flatnonzero(c >= 255)
@@ -87,7 +82,7 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = np.ones(len(out), bool)
     word[ends] = False
     out[word] = hash_spans(buf, start, end)
-    return out & _KEPT, at
+    return out, at
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -118,34 +113,36 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """Sorted keys by range."""
-    edge = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
-    for b in range(n):
-        if edge[b] < edge[b + 1]:
-            yield b, slice(int(edge[b]), int(edge[b + 1]))
+    """Sorted keys by range; only ranges that have some."""
+    own = _bucket(keys, n)
+    edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(own)], strict=True):
+        yield int(own[a]), slice(a, b)
 
 
-PAIRS = "bucket int, v binary, r binary, w binary, c binary, big binary"
+PAIRS = "bucket int, words binary, r binary, w binary, c binary, big binary"
 STATS = "bucket int, h binary, s array<binary>"
 #: Per word: count as a token, words before it, sum and numbers of 1, 2, 3 and more of what follows it.
 WIDTH = 6
 
 
-_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("v", "r", "w", "c", "big"))])
+_PAIRS = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "r", "w", "c", "big"))])
 
 
 def _packed(bucket: int, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict:
-    """Bigrams by their first word: the words once, run lengths, second words, counts."""
+    """Bigrams by their first word: all words once, in order, how many bigrams each begins, the places of the second words, counts."""
+    words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
+    v, w = place[: len(v)], place[len(v) :]
     order = np.argsort(v, kind="stable")
-    v, w = v[order], w[order]
-    at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     small, big = saturate(c[order])
-    return {"bucket": bucket, "v": pack(v[at]), "r": np.diff(np.append(at, len(v))).astype("<u4").tobytes(), "w": pack(w), "c": small.tobytes(), "big": big.astype("<i8").tobytes()}
+    return {"bucket": bucket, "words": words.astype("<u8").tobytes(), "r": narrow(np.bincount(v, minlength=len(words))).tobytes(), "w": narrow(w[order]).tobytes(), "c": small.tobytes(), "big": big.astype("<i8").tobytes()}
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = {k: np.frombuffer(row[k], np.uint8) for k in ("v", "r", "w", "c", "big")}
-    return np.repeat(unpack(raw["v"]), raw["r"].view("<u4")), unpack(raw["w"]), restore(raw["c"], raw["big"].view("<i8").reshape(2, -1))
+    words = np.frombuffer(row["words"], "<u8").astype(np.uint64)
+    n = len(row["c"])
+    big = np.frombuffer(row["big"], "<i8").reshape(2, -1)
+    return np.repeat(words, widened(row["r"], len(words))), words[widened(row["w"], n)], restore(np.frombuffer(row["c"], np.uint8), big)
 
 
 def _count(n_ranges: int):
@@ -175,7 +172,7 @@ def _merge_pairs(folder: str, n_ranges: int):
         of_w, (sw,), _ = summed(w, np.stack([c, np.ones_like(c)], 1))
         h, (s,), _ = summed(np.concatenate([of_v, of_w]), np.concatenate([np.pad(sv, ((0, 0), (2, 0))), np.pad(sw, ((0, 0), (0, 4)))]))
         marks = np.array([np.sum(c == k) for k in (1, 2, 3, 4)], np.int64)
-        rows = [{"bucket": x, "h": pack(h[p]), "s": [np.ascontiguousarray(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
+        rows = [{"bucket": x, "h": h[p].astype("<u8").tobytes(), "s": [narrow(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
         rows.append({"bucket": -1, "h": b"", "s": [marks.tobytes()]})
         return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("s", pa.list_(pa.binary()))]))
 
@@ -189,8 +186,8 @@ def _merge_words(folder: str):
         if b < 0:
             marks = sum(np.frombuffer(r["s"][0], np.int64) for r in rows)
             return pa.Table.from_pydict({"what": ["pairs"], "s": [marks.tolist()]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
-        h = np.concatenate([unpack(np.frombuffer(r["h"], np.uint8)) for r in rows])
-        h, (s,), _ = summed(h, np.concatenate([np.stack([np.frombuffer(x, np.int64) for x in r["s"]], 1) for r in rows]))
+        h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in rows]).astype(np.uint64)
+        h, (s,), _ = summed(h, np.concatenate([np.stack([widened(x, len(r["h"]) // 8) for x in r["s"]], 1) for r in rows]))
         write_file(f"{folder}/word-{b}.keys.npy", h)
         write_file(f"{folder}/word-{b}.stats.npy", narrow(s))
         a = s[:, 1]
@@ -215,14 +212,18 @@ class Ranges:
 
     def __init__(self, folder: str, name: str, value: str, n: int):
         self.folder, self.name, self.value, self.n = folder, name, value, n
-        self.open: dict[int, tuple | None] = {}
+        self.open: OrderedDict[int, tuple | None] = OrderedDict()
 
     def _range(self, b: int) -> tuple | None:
+        """The maps of a range; of those last used, OPEN_RANGES stay open."""
         if b not in self.open:
+            while len(self.open) >= OPEN_RANGES:
+                self.open.popitem(last=False)  # the maps close with their arrays
             path = f"{self.folder}/{self.name}-{b}"
             load = lambda x: np.load(f"{path}.{x}.npy", mmap_mode="r") if os.path.exists(f"{path}.{x}.npy") else None
             keys = load("keys")
             self.open[b] = None if keys is None else (keys, load(self.value), load("big"))
+        self.open.move_to_end(b)
         return self.open[b]
 
     def get(self, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -299,8 +300,9 @@ def fit(docs: DataFrame, text_col: str = "text", where: Column | None = None) ->
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(4, -(-size // RANGE_BYTES))
     folder = local_path(fresh_path(spark, "kn"))
-    counted = used.select(F.col(text_col).alias("text")).mapInArrow(_count(n), PAIRS)
-    stats = counted.groupBy("bucket").applyInArrow(_merge_pairs(folder, n), STATS)
+    # a task for each range: what one gathers does not grow with the corpus
+    counted = used.select(F.col(text_col).alias("text")).mapInArrow(_count(n), PAIRS).repartition(n, "bucket")
+    stats = counted.groupBy("bucket").applyInArrow(_merge_pairs(folder, n), STATS).repartition(n, "bucket")
     rows = stats.groupBy("bucket").applyInArrow(_merge_words(folder), "what string, s array<long>")
     totals = {r["what"]: list(r["s"]) for r in rows.groupBy("what").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(7)]).alias("s")).collect()}
     if "pairs" in totals:
