@@ -312,16 +312,13 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """One row per document, see SCHEMA, and ids array<long> if with_ids."""
     where = local_path(folder)
     with open(f"{where}/manifest.json") as f:
-        n = len(json.load(f)["files"])
+        files = [(x["file"], x["start"]) for x in json.load(f)["files"]]
     schema = SCHEMA + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                with open(f"{where}/manifest.json") as f:
-                    entry = json.load(f)["files"][k]
-                at = entry["start"]
-                for doc, valid, ids, first in read_file(f"{where}/{entry['file']}"):
+            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for doc, valid, ids, first in read_file(f"{where}/{name}"):
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(first, first[1:], strict=False)]
                     cols = [pa.array(doc, mask=~valid), pa.array(first[:-1] + at), pa.array(np.diff(first)), pa.array(crc, pa.int64())]
                     if with_ids:
@@ -329,6 +326,6 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     at += int(first[-1])
                     yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    if not n:
+    if not files:
         return spark.createDataFrame([], schema)
-    return spark.range(0, n, 1, n).mapInArrow(run, schema)
+    return spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "file string, start long").mapInArrow(run, schema)  # a task for each file
