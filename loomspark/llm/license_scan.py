@@ -60,6 +60,21 @@ NOTICES = (
     Notice("gpl", "general public license", 1, "general public"),
     Notice("apache", "apache license", 1, "apache"),
     Notice("mit", "mit license", 1, "mit"),
+    Notice("lgpl", "gnu lesser general public license", 3, "gnu lesser"),
+    Notice("agpl", "gnu affero general public license", 3, "gnu affero"),
+    Notice("mpl", "mozilla public license", 2, "mozilla"),
+    Notice("epl", "eclipse public license", 2, "eclipse"),
+    Notice("boost", "boost software license", 2, "boost"),
+    Notice("bsd", "bsd 2-clause license", 1, "bsd 2-clause"),
+    Notice("bsd", "bsd 3-clause license", 1, "bsd 3-clause"),
+    Notice("isc", "permission to use, copy, modify, and/or distribute this software for any purpose", 6),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 6),
+    Notice("mit", "spdx-license-identifier: mit", 2, "mit"),
+    Notice("apache", "spdx-license-identifier: apache-2.0", 2, "apache-2.0"),
+    Notice("bsd", "spdx-license-identifier: bsd-3-clause", 2, "bsd-3-clause"),
+    Notice("mpl", "spdx-license-identifier: mpl-2.0", 2, "mpl-2.0"),
+    Notice("gpl", "spdx-license-identifier: gpl-3.0-only", 2, "gpl-3.0"),
+    Notice("cc", "spdx-license-identifier: cc-by-4.0", 2, "cc-by"),
 )
 
 
