@@ -173,17 +173,17 @@ def _merge_pairs(folder: str, n_ranges: int):
         h, (s,), _ = summed(np.concatenate([of_v, of_w]), np.concatenate([np.pad(sv, ((0, 0), (2, 0))), np.pad(sw, ((0, 0), (0, 4)))]))
         marks = np.array([np.sum(c == k) for k in (1, 2, 3, 4)], np.int64)
         rows = [{"bucket": x, "h": h[p].astype("<u8").tobytes(), "s": [narrow(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
-        rows.append({"bucket": -1, "h": b"", "s": [marks.tobytes()]})
+        rows.append({"bucket": n_ranges, "h": b"", "s": [marks.tobytes()]})
         return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("s", pa.list_(pa.binary()))]))
 
     return run
 
 
-def _merge_words(folder: str):
+def _merge_words(folder: str, n_ranges: int):
     def run(t: pa.Table) -> pa.Table:
         b = t.column("bucket")[0].as_py()
         rows = t.to_pylist()
-        if b < 0:
+        if b == n_ranges:
             marks = sum(np.frombuffer(r["s"][0], np.int64) for r in rows)
             return pa.Table.from_pydict({"what": ["pairs"], "s": [marks.tolist()]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
         h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in rows]).astype(np.uint64)
@@ -301,9 +301,9 @@ def fit(docs: DataFrame, text_col: str = "text", where: Column | None = None) ->
     n = max(4, -(-size // RANGE_BYTES))
     folder = local_path(fresh_path(spark, "kn"))
     # a task for each range: what one gathers does not grow with the corpus
-    counted = used.select(F.col(text_col).alias("text")).mapInArrow(_count(n), PAIRS).repartition(n, "bucket")
-    stats = counted.groupBy("bucket").applyInArrow(_merge_pairs(folder, n), STATS).repartition(n, "bucket")
-    rows = stats.groupBy("bucket").applyInArrow(_merge_words(folder), "what string, s array<long>")
+    counted = used.select(F.col(text_col).alias("text")).mapInArrow(_count(n), PAIRS).repartitionById(n, "bucket")
+    stats = counted.groupBy("bucket").applyInArrow(_merge_pairs(folder, n), STATS).repartitionById(n + 1, "bucket")
+    rows = stats.groupBy("bucket").applyInArrow(_merge_words(folder, n), "what string, s array<long>")
     totals = {r["what"]: list(r["s"]) for r in rows.groupBy("what").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(7)]).alias("s")).collect()}
     if "pairs" in totals:
         totals["pairs"] = totals["pairs"][:4]

@@ -377,3 +377,65 @@ def test_jaccard_runs_follow_the_depth_reached(spark, monkeypatch):
     jaccard_join.candidates(spark.createDataFrame(rows, jaccard_join.TOKENS), 0.8, 0.9, depth=1)
     assert len(calls) > 1 and [c[0] for c in calls] == [0] + [c[1] for c in calls[:-1]]
     assert calls[0][1] == jaccard_join.runs_for(0.9, 1) < calls[-1][1]
+
+
+def brute_kneser_ney(train, texts):
+    """Plain interpolated modified Kneser-Ney: (score, known tokens, base score) of each text."""
+    from collections import Counter, defaultdict
+    from math import log10
+
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    pairs, uni = Counter(), Counter()
+    for t in train:
+        w = split(t)
+        uni.update(w)
+        pairs.update(zip(["<s>", *w], w))
+    n, v = sum(uni.values()), len(uni)
+    after, cont = defaultdict(Counter), Counter()
+    for (a, b), c in pairs.items():
+        after[a][min(c, 3)] += 1
+        after[a]["sum"] += c
+        cont[b] += 1
+    d_high = kn_lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    d_low = kn_lm.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
+    less = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
+    g_low = sum(d_low[min(c, 3) - 1] for c in cont.values()) / len(pairs)
+    out = []
+    for t in texts:
+        w = split(t)
+        score = 0.0
+        for a, b in zip(["<s>", *w], w):
+            low = less(cont[b], d_low) / len(pairs) + g_low / (v + 1)
+            x = after[a]
+            p = (less(pairs[a, b], d_high) + sum(d_high[k - 1] * x[k] for k in (1, 2, 3)) * low) / x["sum"] if x["sum"] else low
+            score += log10(p)
+        out.append((score, sum(uni[b] > 0 for b in w), sum(log10((uni[b] + 0.1) / (n + 0.1 * (v + 1))) for b in w)))
+    return out
+
+
+def test_kneser_ney_against_brute_force_with_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(kn_lm, "RANGE_BYTES", 400)
+    monkeypatch.setattr(kn_lm, "OPEN_RANGES", 2)
+    r = random.Random(12)
+    texts = [" ".join(r.choice(WORDS[: r.choice([3, 30, 300])]) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["", None, "The THE the é", " ".join(thue_morse(1024))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = kn_lm.fit(docs, where=queries.fold(10) != 0)
+    assert model.ranges > 10
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    want = brute_kneser_ney([t for t, h in zip(texts, held) if not h], texts)
+    got = sorted(kn_lm.score(docs, model).collect(), key=lambda x: x["_id"])
+    for g, (score, known, base) in zip(got, want, strict=True):
+        assert (g["score"], g["n_known"], g["base_score"]) == (pytest.approx(score), known, pytest.approx(base))
+
+
+def test_language_model_maps_few_files(tmp_path, monkeypatch):
+    import os
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
+    for b, s in kn_lm._dealt(keys, 4096):
+        common.write_file(f"{tmp_path}/x-{b}.keys.npy", keys[s])
+        common.write_file(f"{tmp_path}/x-{b}.v.npy", np.ones(s.stop - s.start, np.uint8))
+    own = kn_lm.Ranges(str(tmp_path), "x", "v", 4096)
+    before = len(os.listdir("/proc/self/fd"))
+    assert own.get(keys, np.zeros(len(keys), np.int64)).all()
+    assert len(os.listdir("/proc/self/fd")) - before <= 3 * kn_lm.OPEN_RANGES
