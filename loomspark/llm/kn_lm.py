@@ -41,7 +41,7 @@ from .common import SPACE_WORDS, chunks, fresh_path, hash_spans, local_path, mix
 
 BEGIN, END = np.uint64(0x1B3C5D7E9F010000), np.uint64(0x5432109FE7D50000)
 _ODD = np.uint64(0xA24BAED4963EE407)
-MAP_BYTES = 6 << 20
+MAP_BYTES = 10 << 20
 SCORE_BYTES = 3 << 20
 #: Text bytes for each hash range.
 RANGE_BYTES = 16 << 20
@@ -59,6 +59,15 @@ def widened(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps, all first bytes, then all second ones …; what the shuffle writes of them is compressed."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def saturate(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts as bytes, and (position, count) of those from 255 on."""
     big = np.flatnonzero(c >= 255)
@@ -135,11 +144,11 @@ def _packed(bucket: int, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict:
     v, w = place[: len(v)], place[len(v) :]
     order = np.argsort(v, kind="stable")
     small, big = saturate(c[order])
-    return {"bucket": bucket, "words": words.astype("<u8").tobytes(), "r": narrow(np.bincount(v, minlength=len(words))).tobytes(), "w": narrow(w[order]).tobytes(), "c": small.tobytes(), "big": big.astype("<i8").tobytes()}
+    return {"bucket": bucket, "words": pack(words), "r": narrow(np.bincount(v, minlength=len(words))).tobytes(), "w": narrow(w[order]).tobytes(), "c": small.tobytes(), "big": big.astype("<i8").tobytes()}
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = np.frombuffer(row["words"], "<u8").astype(np.uint64)
+    words = unpack(row["words"])
     n = len(row["c"])
     big = np.frombuffer(row["big"], "<i8").reshape(2, -1)
     return np.repeat(words, widened(row["r"], len(words))), words[widened(row["w"], n)], restore(np.frombuffer(row["c"], np.uint8), big)
@@ -172,7 +181,7 @@ def _merge_pairs(folder: str, n_ranges: int):
         of_w, (sw,), _ = summed(w, np.stack([c, np.ones_like(c)], 1))
         h, (s,), _ = summed(np.concatenate([of_v, of_w]), np.concatenate([np.pad(sv, ((0, 0), (2, 0))), np.pad(sw, ((0, 0), (0, 4)))]))
         marks = np.array([np.sum(c == k) for k in (1, 2, 3, 4)], np.int64)
-        rows = [{"bucket": x, "h": h[p].astype("<u8").tobytes(), "s": [narrow(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
+        rows = [{"bucket": x, "h": pack(h[p]), "s": [narrow(col).tobytes() for col in s[p].T]} for x, p in _dealt(h, n_ranges)]
         rows.append({"bucket": n_ranges, "h": b"", "s": [marks.tobytes()]})
         return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("s", pa.list_(pa.binary()))]))
 
@@ -186,7 +195,7 @@ def _merge_words(folder: str, n_ranges: int):
         if b == n_ranges:
             marks = sum(np.frombuffer(r["s"][0], np.int64) for r in rows)
             return pa.Table.from_pydict({"what": ["pairs"], "s": [marks.tolist()]}, pa.schema([("what", pa.string()), ("s", pa.list_(pa.int64()))]))
-        h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in rows]).astype(np.uint64)
+        h = np.concatenate([unpack(r["h"]) for r in rows])
         h, (s,), _ = summed(h, np.concatenate([np.stack([widened(x, len(r["h"]) // 8) for x in r["s"]], 1) for r in rows]))
         write_file(f"{folder}/word-{b}.keys.npy", h)
         write_file(f"{folder}/word-{b}.stats.npy", narrow(s))
