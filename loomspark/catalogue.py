@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .operators.joins import as_of
 from .plans.compile import compile_sql, graph_dataframe
 from .plans.model import BucketingPolicy, Exchange, Sink, Source, Stage, StageGraph, StageInput
 from .sources.connectors import latest
@@ -103,6 +107,30 @@ EXTENDED = {
     "string_functions": ("customer", "SELECT c_custkey, lower(c_name) AS a, substring(c_name, 1, 4) AS b, concat(c_mktsegment, '!') AS c, replace(c_name, '0', 'o') AS d, CAST(length(c_name) AS BIGINT) AS e, trim(c_name) AS f FROM customer"),
     "date_functions": ("orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, CAST(month(o_orderdate) AS INT) AS mo FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(month(o_orderdate) AS INT) AS mo FROM orders"),
     "math_functions": ("lineitem", "SELECT l_orderkey, l_linenumber, abs(l_discount - 1) AS a, CAST(floor(l_quantity / 3) AS BIGINT) AS f, CAST(ceil(l_tax) AS BIGINT) AS c, ROUND(sqrt(l_quantity), 6) AS s FROM lineitem"),
+    "null_join_keys": ("orders customer", "SELECT o.o_orderkey, c.c_name FROM (SELECT o_orderkey, NULLIF(o_custkey % 7, 0) AS k FROM orders) o JOIN (SELECT c_name, NULLIF(c_custkey, 3) AS k FROM customer) c ON o.k = c.k"),
+    "null_keys_left": ("orders customer", "SELECT o.o_orderkey, c.c_name FROM (SELECT o_orderkey, NULLIF(o_custkey % 7, 0) AS k FROM orders) o LEFT JOIN (SELECT c_name, NULLIF(c_custkey, 3) AS k FROM customer) c ON o.k = c.k"),
+    "null_safe_join": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON NULLIF(n_regionkey, 1) <=> NULLIF(r_regionkey, 1)", "SELECT n_name, r_name FROM nation JOIN region ON NULLIF(n_regionkey, 1) IS NOT DISTINCT FROM NULLIF(r_regionkey, 1)"),
+    "group_all_null": ("orders", "SELECT o_orderstatus, ROUND(SUM(x), 2) AS s, MIN(x) AS lo, MAX(x) AS hi, COUNT(x) AS n, COUNT(*) AS every FROM (SELECT o_orderstatus, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS x FROM orders) GROUP BY o_orderstatus"),
+    "group_gone_after_where": ("orders", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus"),
+    "group_unaliased": ("orders", "SELECT o_orderstatus, COUNT(*), MIN(o_orderkey) FROM orders GROUP BY o_orderstatus", 'SELECT o_orderstatus, COUNT(*) AS "count(1)", MIN(o_orderkey) AS "min(o_orderkey)" FROM orders GROUP BY o_orderstatus'),
+    "awkward_names": ("orders", 'SELECT "with space", MAX("current_timestamp") AS "has""quote", COUNT("select") AS "clé" FROM (SELECT o_orderstatus AS "with space", o_orderpriority AS "current_timestamp", o_custkey AS "select" FROM orders) GROUP BY "with space"'),
+    "agg_two_arguments": ("lineitem", "SELECT l_returnflag, ROUND(corr(l_quantity, l_extendedprice), 6) AS c, ROUND(covar_samp(l_quantity, l_extendedprice), 2) AS v, ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS r FROM lineitem GROUP BY l_returnflag"),
+    "agg_median": ("lineitem", "SELECT l_returnflag, ROUND(median(l_quantity), 2) AS m, ROUND(var_pop(l_discount), 8) AS v, bool_or(l_quantity > 49) AS big, ROUND(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity), 2) AS q FROM lineitem GROUP BY l_returnflag"),
+    "agg_collect": ("orders", "SELECT o_orderpriority, array_join(array_sort(collect_set(o_orderstatus)), ',') AS s, max_by(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS s, max(o_orderkey) AS k FROM orders GROUP BY o_orderpriority"),
+    "agg_sketch": ("lineitem", "SELECT l_returnflag, abs(approx_count_distinct(l_suppkey) - COUNT(DISTINCT l_suppkey)) <= 0.2 * COUNT(DISTINCT l_suppkey) AS near, abs(hll_sketch_estimate(hll_sketch_agg(l_partkey, 14)) - COUNT(DISTINCT l_partkey)) <= 0.1 * COUNT(DISTINCT l_partkey) AS near_hll FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, TRUE AS near, TRUE AS near_hll FROM lineitem GROUP BY l_returnflag"),
+    "pivot": ("orders", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority"),
+    "range_join": ("part supplier", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size BETWEEN s_suppkey - 1 AND s_suppkey + 1"),
+    "lateral_join": ("nation", "SELECT n_name, t.x FROM nation, LATERAL (SELECT n_regionkey * 2 AS x) t"),
+    "lateral_explode": ("customer", "SELECT c_custkey, part FROM customer LATERAL VIEW explode(split(c_name, '#')) t AS part", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS part FROM customer"),
+    "sort_in_partitions": ("orders", "SELECT o_orderkey, o_custkey FROM orders DISTRIBUTE BY o_custkey SORT BY o_custkey, o_orderkey", "SELECT o_orderkey, o_custkey FROM orders"),
+    "array_functions": ("customer", "SELECT c_custkey, array_join(transform(split(c_name, '#'), x -> upper(x)), '-') AS a, CAST(size(split(c_name, '0')) AS BIGINT) AS n, element_at(split(c_name, '#'), 1) AS head FROM customer", "SELECT c_custkey, array_to_string(list_transform(string_split(c_name, '#'), lambda x: upper(x)), '-') AS a, CAST(len(string_split(c_name, '0')) AS BIGINT) AS n, string_split(c_name, '#')[1] AS head FROM customer"),
+    "map_struct_functions": ("customer", "SELECT c_custkey, map('k', c_acctbal, 'j', 0.0)['k'] AS m, named_struct('a', c_name, 'b', c_custkey).a AS s FROM customer", "SELECT c_custkey, c_acctbal AS m, c_name AS s FROM customer"),
+    "json_struct": ("events", "SELECT event_id, from_json(props, 'k INT').k AS k FROM events", "SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events"),
+    "window_more": ("orders", "SELECT o_orderkey, LEAD(o_orderkey) OVER w AS next_key, CAST(NTILE(3) OVER w AS BIGINT) AS third, FIRST_VALUE(o_orderkey) OVER w AS first_key, LAST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS last_near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
+    "window_range": ("orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW) AS near, ROUND(PERCENT_RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice), 6) AS pr FROM orders"),
+    "intersect_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
+    "except_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "select_alone": ("", "SELECT 1 AS one, 'a' AS letter"),
     "conditional_functions": ("orders", "SELECT o_orderkey, coalesce(NULLIF(o_orderstatus, 'O'), 'open') AS s FROM orders"),
 }
 
@@ -158,9 +186,10 @@ class _NumberReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.parts)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i in range(partition.value, self.rows, self.parts):
-            yield i, i * i
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for first in range(partition.value, self.rows, self.parts * 1024):
+            ids = np.arange(first, min(first + self.parts * 1024, self.rows), self.parts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids * ids)], ["id", "square"])
 
 
 def custom_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +197,30 @@ def custom_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_sql(spark, "SELECT id, square FROM numbers WHERE id > 10", [numbers]).dataframe()
 
 
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's last view."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    views = events.where("event_type = 'view'").select("user_id", "ts")
+    return as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views.withColumn("view_ts", F.col("ts")), "user_id", "ts", ["view_ts"])
+
+
+def csv_json_orc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation through a CSV, a JSON and an ORC folder of the warehouse."""
+    base, schema = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loom-formats", "n_nationkey int, n_name string, n_regionkey int"
+    for kind in ("csv", "json", "orc"):
+        compile_sql(spark, "SELECT * FROM nation", [source(sf_dir, "nation")]).dataframe().write.mode("overwrite").format(kind).save(f"{base}/{kind}")
+    sources = [Source(k, k, k, {"uris": [f"{base}/{k}"], "schema": schema}) for k in ("csv", "json", "orc")]
+    return compile_sql(spark, "SELECT c.n_nationkey, j.n_name, o.n_regionkey FROM csv c JOIN json j ON c.n_nationkey = j.n_nationkey JOIN orc o ON o.n_nationkey = c.n_nationkey", sources, mode="extended").dataframe()
+
+
+def snapshot_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into a snapshot table, the first of them twice, read back."""
+    uri = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loom-snapshots-{uuid.uuid4().hex}"
+    for run in ("one", "one", "two"):
+        compile_sql(spark, "SELECT * FROM region", [source(sf_dir, "region")]).run(Sink("snapshot", {"table_uri": uri}), run)
+    return compile_sql(spark, "SELECT * FROM t", [Source("t", "t", "snapshot", {"table_uri": uri})]).dataframe()
+
+
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a run and reads it back through _LATEST, in a folder of the warehouse."""
     base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loom-roundtrip"
@@ -180,7 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {n: partial(_run, x[1], x[0], "extended", ()) for n, x in EXTENDED.items()}
     out |= {n: partial(_width, p) for n, p in POLICIES.items()}
     out |= {"join_broadcast": partial(_join, 10_000_000), "join_merge": partial(_join, 0), "join_shuffle_hash": partial(_run, HASH_JOIN, JOIN[0], "strict", ())}
-    return out | {f.__name__: f for f in (graph_group, graph_join3, custom_source_scan, sink_roundtrip)}
+    return out | {f.__name__: f for f in (graph_group, graph_join3, custom_source_scan, asof_join, csv_json_orc_roundtrip, snapshot_appends, sink_roundtrip)}
 
 
 def _oracle(sql: str, rounded: tuple[str, ...]) -> str:
@@ -199,5 +252,8 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: out["join_inner"] for n in ("join_broadcast", "join_merge", "join_shuffle_hash")}
     out["graph_group"] = "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey"
     out["graph_join3"] = "SELECT n_name, c_custkey, s_suppkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey"
+    out["asof_join"] = "SELECT p.event_id, p.user_id, p.ts, v.ts AS last_view_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"
+    out["csv_json_orc_roundtrip"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+    out["snapshot_appends"] = "SELECT * FROM region UNION ALL SELECT * FROM region"
     out["custom_source_scan"] = "SELECT i AS id, i * i AS square FROM range(1000) t(i) WHERE i > 10"
     return out

@@ -91,12 +91,16 @@ class ParquetSource(_Files):
     format = "parquet"
 
     def read(self, spark: SparkSession) -> DataFrame:
-        first = None
-        for uri in self.uris if len(self.uris) > 1 else []:
-            own = [(f.name, f.dataType) for f in spark.read.parquet(uri).schema]
-            first = first or (uri, own)
-            if own != first[1]:
-                raise ValueError(f"{uri} and {first[0]} have different schemas")
+        df = super().read(spark)
+        files = df.inputFiles()
+        if len(files) > 1:
+            found = one_schema(spark, files)
+            if len(found) > 1:
+                raise ValueError(f"{' and '.join(sorted(found)[:2])} have different schemas")
+        return df
+
+    def read_again(self, spark: SparkSession) -> DataFrame:
+        """Without comparing the files' schemas once more."""
         return super().read(spark)
 
     def estimate_rows(self, spark: SparkSession) -> int:
@@ -104,6 +108,39 @@ class ParquetSource(_Files):
         return spark.read.parquet(*self.uris).count()  # no column is read
 
 
+def one_schema(spark: SparkSession, files: list[str]) -> list[str]:
+    """A file of each schema (names and types in order) that the footers of the files show; one job reads them all.
+
+    Files of a store that only Spark opens are compared by what Spark takes for their schema.
+    """
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            schemas = []
+            for name in names:
+                try:
+                    fs, path = pyarrow.fs.FileSystem.from_uri(name)
+                except (pa.ArrowException, OSError, ValueError):
+                    schemas.append(None)
+                    continue
+                schemas.append("; ".join(f"{f.name} {f.type}" for f in pq.read_schema(path, filesystem=fs)))
+            yield pa.RecordBatch.from_pydict({"file": names, "schema": pa.array(schemas, pa.string())})
+
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 200))
+    rows = names.mapInArrow(footers, "file string, schema string").groupBy("schema").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n")).collect()  # a row for each schema
+    found = {r["schema"]: r["file"] for r in rows}
+    if None in found:
+        found = {}
+        for f in files:
+            found.setdefault(spark.read.parquet(f).schema.simpleString(), f)
+    return list(found.values())
+
+
 class CsvSource(_Files):
     format = "csv"
 
@@ -203,16 +240,18 @@ class IcebergSource(_Unknown):
 class IcebergSink:
     """Appends one snapshot per run; a run that is committed already is left as it is."""
 
-    def __init__(self, table: str):
-        self.table = table
+    def __init__(self, table: str, strict: bool = True):
+        self.table, self.strict = table, strict
 
     def write(self, df: DataFrame, run_key: str | None) -> dict:
         spark = df.sparkSession
         _iceberg(spark)
         writer = df.writeTo(self.table)
         if not spark.catalog.tableExists(self.table):
-            writer.using("iceberg").create()
-        elif run_key and spark.table(f"{self.table}.snapshots").where(F.col("summary")["run_key"] == run_key).count():
+            if self.strict and df.isEmpty():
+                raise ValueError("an empty result can't create the table: no run has given it a schema yet")
+            df.limit(0).writeTo(self.table).using("iceberg").create()  # the rows follow with the run's key, so a repeated first run finds it
+        if run_key and spark.table(f"{self.table}.snapshots").where(F.col("summary")["run_key"] == run_key).count():
             return {"table": self.table, "run_key": run_key, "committed": False}
         else:
             writer.option("snapshot-property.run_key", run_key or uuid.uuid4().hex).append()
@@ -247,7 +286,7 @@ def latest(spark: SparkSession, base_uri: str) -> DataFrame:
 
 
 class SnapshotSink:
-    """An append-only table of run directories and a manifest of committed runs, replaced by a rename."""
+    """An append-only table of run directories; a run counts once its file stands in _commits, put there by a rename."""
 
     def __init__(self, table_uri: str, strict: bool = True):
         self.base, self.strict = table_uri.rstrip("/"), strict
@@ -265,12 +304,17 @@ class SnapshotSink:
                 raise ValueError("an empty result can't create the table: no run has given it a schema yet")
             return {"table": self.base, "run_key": key, "files_added": 0, "files_already_committed": 0, "rows": 0}
         files = len(spark.read.parquet(f"{self.base}/{key}").inputFiles())
-        _write_text(spark, f"{self.base}/manifest.json", json.dumps([*runs, {"run_key": key, "files": files, "rows": rows}]))
+        _write_text(spark, f"{self.base}/_commits/{key}.json", json.dumps({"run_key": key, "files": files, "rows": rows}))
         return {"table": self.base, "run_key": key, "files_added": files, "files_already_committed": 0, "rows": rows}
 
 
 def snapshot_runs(spark: SparkSession, base: str) -> list[dict]:
-    return json.loads(_read_text(spark, f"{base}/manifest.json")) if _exists(spark, f"{base}/manifest.json") else []
+    """The committed runs, in the order of their commits; each has a file of its own, so runs that end together both count."""
+    if not _exists(spark, f"{base}/_commits"):
+        return []
+    fs, p = _path(spark, f"{base}/_commits")
+    files = sorted((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(p))
+    return [json.loads(_read_text(spark, f"{base}/_commits/{name}")) for _, name in files if name.endswith(".json")]
 
 
 class SnapshotSource:
