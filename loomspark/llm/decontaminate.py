@@ -4,13 +4,13 @@ Test items are indexed, training passages are the queries.  Impacts are BM25 ter
 divided by the item's score for its own text, so the threshold is a share of a perfect match.
 Items lie in blocks; a block knows the largest impact of each term in it.
 
-A passage (a window of words, half overlapping the next) is taken in three steps that only
+A passage (a window of words, half overlapping the next) is taken in four steps that only
 drop what cannot reach the threshold:
-1. terms are split so that the non-essential ones together can't give more than a part of the
-   threshold in any block; only essential terms open candidates (the WAND pivot);
-2. a (passage, block) stays if the sum of its essential terms' block maxima and the block's
-   bound for the other terms reaches the threshold;
-3. items of the blocks that stay get exact scores.
+1. the passage's terms are put in the order of their largest impacts; the pivot is the first with which
+   the sum of these bounds reaches the threshold, and only the terms from it on open blocks;
+2. a (passage, block) stays if these terms' maxima in the block and the bounds of the others reach it;
+3. it stays if the maxima in the block of all its terms reach it;
+4. items of the blocks that stay get exact scores.
 All items above the threshold are then verified: the share of five-word shingles of the item's
 question (all but its last sentence) and of its answer (the last sentence; of a single
 sentence, its last third of words) that the text has in the passage's neighbourhood.
@@ -42,6 +42,7 @@ from .common import ALNUM_WORDS, chain, chunks, hash_spans, runs, shingles, span
 INDEX_ITEMS = 20_000
 BLOCK = 8
 SHINGLE = 5
+PAIRS_AT_ONCE = 1 << 14
 K1, B = 1.2, 0.75
 
 
@@ -128,24 +129,19 @@ class Index:
         for i, own in enumerate(self.impact):
             for t, s in own.items():
                 best[t, i // BLOCK] = max(best[t, i // BLOCK], s)
-        # non-essential terms: the most frequent ones, while no block's bound for them passes half the threshold
+        # terms by their largest impact in any block, and each one's blocks
         self.blocks = -(-len(words) // BLOCK)
-        self.rest = np.zeros(self.blocks)
-        self.essential = np.ones(len(df), bool)
         in_block: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for (t, b), s in best.items():
             in_block[t].append((b, s))
-        for t in sorted(in_block, key=lambda t: -len(in_block[t])):
-            at, s = np.array([b for b, _ in in_block[t]]), np.array([s for _, s in in_block[t]])
-            if (self.rest[at] + s).max() > threshold / 2:
-                break
-            self.rest[at] += s
-            self.essential[t] = False
-        size = [len(in_block[t]) * self.essential[t] for t in range(len(df))]
-        self.count = np.array(size, np.int64)
+        most = np.array([max(s for _, s in in_block[t]) for t in range(len(df))])
+        order = np.argsort(most, kind="stable")
+        self.rank, self.most = np.argsort(order, kind="stable"), most[order]
+        flat = [x for t in order.tolist() for x in sorted(in_block[t])]
+        self.count = np.array([len(in_block[t]) for t in order.tolist()], np.int64)
         self.first = np.cumsum(self.count) - self.count
-        flat = [x for t in range(len(df)) if self.essential[t] for x in sorted(in_block[t])]
         self.post_block, self.post_max = np.array([b for b, _ in flat], np.int64), np.array([s for _, s in flat])
+        self.post_key = np.repeat(np.arange(len(order)), self.count) * self.blocks + self.post_block
 
     def search(self, buf: np.ndarray, off: np.ndarray, question: float, answer: float) -> list[tuple[int, int, float, float, float]]:
         """(text, item number, score, question share, answer share) of the items, each by its best verified passage."""
@@ -167,11 +163,21 @@ class Index:
         doc = np.searchsorted(first, hit, "right") - 1
         pos = (hit - first[doc]) // step
         win = win_first[doc] + pos
-        ess = self.essential[term]
-        w, t = win[ess], term[ess]
-        also = pos[ess] > 0
-        code = np.unique(np.concatenate([w, w[also] - 1]) * len(self.terms) + np.concatenate([t, t[also]]))
-        w, t = np.divmod(code, len(self.terms))
+        rank = self.rank[term]
+        also = pos > 0
+        code = np.unique(np.concatenate([win, win[also] - 1]) * len(self.terms) + np.concatenate([rank, rank[also]]))
+        w, r = np.divmod(code, len(self.terms))
+        # the pivot: of a passage's terms from the smallest bound on, the first with which their sum can reach the threshold
+        total = np.cumsum(self.most[r])
+        at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        size = np.diff(np.append(at, len(w)))
+        total -= np.repeat(total[at] - self.most[r[at]], size)
+        opens = total >= self.threshold - 1e-9
+        before = np.zeros(win_first[-1] + 1, np.int64)  # how many terms stand before the pivot, and where they begin
+        begin = np.zeros(win_first[-1] + 1, np.int64)
+        before[w[at]], begin[w[at]] = np.add.reduceat(~opens, at, dtype=np.int64), at
+        rest = np.where(before > 0, total[np.maximum(begin + before - 1, 0)], 0.0)
+        w, t = w[opens], r[opens]
         count = self.count[t]
         post = runs(self.first[t], count)
         pair = np.repeat(w, count) * self.blocks + self.post_block[post]
@@ -182,7 +188,16 @@ class Index:
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         bound = np.add.reduceat(bound, new)
         pair = pair[new]
-        stays = bound + self.rest[pair % self.blocks] >= self.threshold - 1e-9
+        may = bound + rest[pair // self.blocks] >= self.threshold - 1e-9
+        pair, bound = pair[may], bound[may]
+        stays = np.zeros(len(pair), bool)
+        for k in range(0, len(pair), PAIRS_AT_ONCE):  # the other terms' maxima in the block itself
+            w, b = np.divmod(pair[k : k + PAIRS_AT_ONCE], self.blocks)
+            n = before[w]
+            key = r[runs(begin[w], n)] * self.blocks + np.repeat(b, n)
+            place = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
+            more = np.where(self.post_key[place] == key, self.post_max[place], 0.0)
+            stays[k : k + PAIRS_AT_ONCE] = bound[k : k + PAIRS_AT_ONCE] + np.bincount(np.repeat(np.arange(len(w)), n), more, len(w)) >= self.threshold - 1e-9
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         seen: tuple[int, set] = (-1, set())
         for p in pair[stays].tolist():
