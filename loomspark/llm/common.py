@@ -14,6 +14,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which ends its lineage."""
+_scratch: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str = "cut", result: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back, which ends its lineage.
+
+    Within scratch() the table goes at its end, unless it is a result.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if len(_scratch) > result:
+        _scratch[-1 - result].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes within are removed at the end; no DataFrame that outlives it may read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: A key of more than one row in so many is joined by a broadcast, so at most as many keys are.
 HOT = 1000
 

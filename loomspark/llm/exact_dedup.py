@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import cut, join_counted, scratch
 
 PREFIX_CHARS = 64
 #: Up to so many surviving (length, prefix) pairs are sent to every task; more are joined by a shuffle.
@@ -38,9 +38,10 @@ def _keys(text: Column) -> list[Column]:
 
 def surviving(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The (_len, _pre) pairs that more than one row has."""
-    sketch = cut(docs.select(*_keys(F.coalesce(F.col(text_col), F.lit("")))), "sketch")
-    by_len = sketch.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len")
-    return cut(sketch.join(by_len, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len", "_pre"), "pairs")
+    with scratch(docs.sparkSession):
+        sketch = cut(docs.select(*_keys(F.coalesce(F.col(text_col), F.lit("")))), "sketch")
+        by_len = sketch.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len")
+        return cut(sketch.join(by_len, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len", "_pre"), "pairs", result=True)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, chunks, cut, hash_spans, join_counted, mix, runs, shingles, spans
+from .common import SPACE_WORDS, chunks, cut, hash_spans, join_counted, mix, runs, scratch, shingles, spans
 
 T = 64
 K = 5
@@ -291,6 +291,11 @@ def _by_bucket(rows: DataFrame, wide: int) -> DataFrame:
 
 def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int = DEPTH) -> DataFrame:
     """Pairs that connect all nodes which candidates connect.  tokens: see TOKENS."""
+    with scratch(tokens.sparkSession):
+        return _candidates(tokens, threshold, recall, depth)
+
+
+def _candidates(tokens: DataFrame, threshold: float, recall: float, depth: int) -> DataFrame:
     every, found = tokens, []
     done, wanted = 0, runs_for(recall, depth)
     while done < wanted:
@@ -313,7 +318,7 @@ def candidates(tokens: DataFrame, threshold: float, recall: float, depth: int =
             members = cut(rest.join(tokens, "ref").select("key", "ref", "tokens").mapInArrow(_next(threshold), MEMBERS), "members")
         depth = max(depth, level)
         done, wanted = wanted, max(wanted, runs_for(recall, depth))
-    return cut(_union(found).distinct(), "pairs")
+    return cut(_union(found).distinct(), "pairs", result=True)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -322,6 +327,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels go along the links and are then shortened by their own labels, so chains end in
     a number of steps that is logarithmic in their length.
     """
+    with scratch(links.sparkSession):
+        return _components(links, a, b)
+
+
+def _components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(links.selectExpr(f"{a} x", f"{b} y").unionByName(links.selectExpr(f"{b} x", f"{a} y")).distinct(), "edges")
     labels = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("component")), "labels")
     while True:
@@ -331,7 +341,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = own.select(F.col("node").alias("p"), F.col("now").alias("root"))
         step = cut(own.join(up, F.col("now") == F.col("p"), "left").select("node", "was", F.least("now", F.coalesce("root", "now")).alias("component")), "labels")
         if step.where("component <> was").isEmpty():
-            return step.select("node", "component")
+            return cut(step.select("node", "component"), "components", result=True)
         labels = step.select("node", "component")
 
 
@@ -340,6 +350,11 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
 
     members: node, component, n.
     """
+    with scratch(members.sparkSession):
+        return _blocks(members, threshold)
+
+
+def _blocks(members: DataFrame, threshold: float) -> DataFrame:
     weight = F.greatest("n", F.lit(LIGHT)).cast("long")
     by_size = Window.partitionBy("component").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = cut(members.select("node", "component", "n", F.floor((F.sum(weight).over(by_size) - weight) / STEP).cast("int").alias("block")), "blocks")
@@ -347,7 +362,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
     other = ends.selectExpr("component", "block other", "least other_least", "most other_most")
     meets = F.when(F.col("block") <= F.col("other"), F.col("other_least") * threshold - 1e-6 <= F.col("most")).otherwise(F.col("least") * threshold - 1e-6 <= F.col("other_most"))
     reach = ends.join(other, "component").where(meets).groupBy("component", "block").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
-    return cut(placed.join(reach, ["component", "block"]).select("node", "component", "block", "lo", "hi"), "blocks")
+    return cut(placed.join(reach, ["component", "block"]).select("node", "component", "block", "lo", "hi"), "blocks", result=True)
 
 
 SHARED = "component long, x int, y int, block int, node long, shingles binary"
@@ -572,9 +587,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows without an id stay; of rows that share an id, all stay where one of them stays.
     """
-    rows, _ = jaccard_classes(docs, id_col, text_col, threshold, recall)
-    lost = rows.where("_id is not null").groupBy("_id").agg(F.min(F.col("_id") != F.col("class_id")).alias("_gone")).where("_gone").select(F.col("_id").alias("_lost"))
-    lost = cut(lost, "lost")
+    with scratch(docs.sparkSession):
+        rows, _ = jaccard_classes(docs, id_col, text_col, threshold, recall)
+        lost = rows.where("_id is not null").groupBy("_id").agg(F.min(F.col("_id") != F.col("class_id")).alias("_gone")).where("_gone").select(F.col("_id").alias("_lost"))
+        lost = cut(lost, "lost", result=True)
     if lost.count() <= 1_000_000:
         lost = F.broadcast(lost)
     return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import cut, join_counted, scratch
 
 GROUPS_PER_BUCKET = 20_000
 #: Partial partitions that one task of the tree combines.
@@ -105,6 +105,12 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     split: None keeps every group whole; a number lets a group larger than one shard's even share be
     dealt to runs of about that part of the share.
     """
+    with scratch(docs.sparkSession):
+        placed = cut(_placed(docs, shards, id_col, text_col, overhead, split), "placed", result=True)
+    return slots(placed)
+
+
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, overhead: int, split: int | None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = text.cast("binary")
     rows = cut(docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.substring(F.sha2(raw, 256), 1, 32).alias("key")), "sizes")
@@ -134,14 +140,14 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         where = level.select("bucket", "part", F.col("to_part").alias("shard")) if where is None else level.join(where.toDF("up", "to_part", "shard"), ["up", "to_part"]).select("bucket", "part", "shard")
     placed = dealt.join(where, ["bucket", "part"]) if where is not None else dealt.withColumn("shard", F.col("part"))
     of_item = cut(placed.select("key", "run", "n", "shard"), "items")
-    return slots(join_counted(rows, of_item, ["key", "run"], "n").select("_id", "size", "text_crc32", "shard"))
+    return join_counted(rows, of_item, ["key", "run"], "n").select("_id", "size", "text_crc32", "shard")
 
 
 def slots(placed: DataFrame) -> DataFrame:
     """slot: 0, 1, 2 … in each shard in id order, numbered in ranges of shard and id and then shifted."""
     n = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["shard", "_id", "text_crc32", "size"]
-    placed = cut(cut(placed, "placed").repartitionByRange(n, *order).withColumn("piece", F.spark_partition_id()), "ranges")
+    placed = cut(placed.repartitionByRange(n, *order).withColumn("piece", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))  # at most a row for each shard and piece that meet: n + shards
     own = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*order[1:])) - 1
