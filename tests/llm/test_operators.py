@@ -439,3 +439,22 @@ def test_language_model_maps_few_files(tmp_path, monkeypatch):
     before = len(os.listdir("/proc/self/fd"))
     assert own.get(keys, np.zeros(len(keys), np.int64)).all()
     assert len(os.listdir("/proc/self/fd")) - before <= 3 * kn_lm.OPEN_RANGES
+
+
+def test_unigram_ids_equal_the_librarys(tmp_path):
+    """The public model as a unigram one.  Its piece of score -1e9 gets a usual score: next to it the library's 32-bit sums can't tell paths apart that differ by less than 64."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = m.trainer_spec.UNIGRAM
+    for p in m.pieces:
+        p.score = max(p.score, -40_000.0)
+    (tmp_path / "u.model").write_bytes(m.SerializeToString())
+    own, lib = sentencepiece_trie.Encoder(str(tmp_path / "u.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    texts = ["the hest lere. where, on the other hand", "über straße 日本", "a  b   c", "", *(" ".join(rng.choice(["the", "there", "nothing", "est", "ere", "x1", "é"]) for _ in range(40)) for _ in range(50))]
+    (_, _, buf, off), = common.chunks(pa.array(texts))
+    ids, first = own.encode(buf, off)
+    assert own.unigram and [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [lib.encode(t) for t in texts]
