@@ -324,14 +324,43 @@ def _candidates(tokens: DataFrame, threshold: float, recall: float, depth: int)
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links lead to; of nodes that have links.
 
-    Labels go along the links and are then shortened by their own labels, so chains end in
+    Links are first contracted in runs of CONTRACT, so a dense group has few left.  Labels go along the links and are then shortened by their own labels, so chains end in
     a number of steps that is logarithmic in their length.
     """
     with scratch(links.sparkSession):
         return _components(links, a, b)
 
 
+#: Links that one task contracts.
+CONTRACT = 1 << 15
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a, b to the smallest node instead, among those that a task's links connect."""
+    parts = [(np.array(x.column(0)), np.array(x.column(1))) for x in batches if x.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[own]]), pa.array(nodes[own])], schema=_PAIR)
+
+
 def _components(links: DataFrame, a: str, b: str) -> DataFrame:
+    links = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    links = cut(links.repartition(max(1, -(-links.count() // CONTRACT))).mapInArrow(_contract, PAIRS), "forests")
+    a, b = "a", "b"
     edges = cut(links.selectExpr(f"{a} x", f"{b} y").unionByName(links.selectExpr(f"{b} x", f"{a} y")).distinct(), "edges")
     labels = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("component")), "labels")
     while True:

@@ -458,3 +458,14 @@ def test_unigram_ids_equal_the_librarys(tmp_path):
     (_, _, buf, off), = common.chunks(pa.array(texts))
     ids, first = own.encode(buf, off)
     assert own.unigram and [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [lib.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("run", [3, 1 << 15])
+def test_components_of_chains_and_dense_groups(spark, monkeypatch, run):
+    monkeypatch.setattr(jaccard_join, "CONTRACT", run)
+    r = random.Random(14)
+    links = [(i, i + 1) for i in range(100, 140)] + [(a, b) for a in range(12) for b in range(a)] + [(900, 800), (800, 900), (2**61, 7)]
+    r.shuffle(links)
+    got = {x["node"]: x["component"] for x in jaccard_join.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, **{i: 0 for i in range(12)}, 2**61: 0, 800: 800, 900: 800}
+    assert jaccard_join.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
