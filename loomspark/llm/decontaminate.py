@@ -154,6 +154,8 @@ class Index:
         at = np.searchsorted(self.terms, h)
         at[at == len(self.terms)] = 0
         hit = np.flatnonzero(self.terms[at] == h)
+        if not len(hit):
+            return []
         term = at[hit]
         n_words = np.diff(first)
         step = self.window // 2
