@@ -229,6 +229,13 @@ def test_url_rules(spark):
     assert {r["_rule"] for r in out if r["page_id"] in (0, 3)} == {"example.com/en/7", "net/de/"}
 
 
+def test_op6_gives_the_word_of_each_rule_in_the_contract(spark, tmp_path):
+    urls = {"http://a.com/en/": ("com/en/", "block"), "http://a.example.com/en/7x": ("example.com/en/7", "allow"), "http://a.net/de/": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://o.org/es/": ("org/es/", "block")}
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op6_url_filter(spark, str(tmp_path)).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows} == dict(enumerate(urls.values()))
+
+
 def test_differencing_is_tighter_than_dealing():
     sizes = [np.array([rng.randrange(1, 1000), 0, 0]) for _ in range(60)]
     total, place = sharding.differencing(sizes, 3)
